@@ -10,8 +10,6 @@ contaminated; an empty benchmark marks nothing; repeated rows are kept; null ite
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +54,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n_words: int = N_W
 
     def windows(df: DataFrame, keep: list[str], only_short: bool) -> DataFrame:
         df = _doubled(df, lengths)
-        parts = []
-        for n in lengths:
-            rows = df.where(F.col("n") == n) if only_short else df
-            parts.append(rows.select(*keep, F.lit(n).alias("n"), F.posexplode(f"f{n}").alias("pos", "fp")))
-        return reduce(DataFrame.unionByName, parts)
-
-    bench = windows(items, ["item_id", "words"], True).select("item_id", "n", "fp", F.expr("slice(words, pos + 1, n)").alias("window")).distinct()
+        # Outer generators: for others Spark filters on the array's size first, which makes every array twice and more.
+        each = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"f{n}").alias("f")) for n in lengths])
+        rows = df.withColumnRenamed("n", "own") if only_short else df
+        rows = rows.select(*keep, *(["own"] if only_short else []), F.explode_outer(each).alias("e"))
+        if only_short:
+            rows = rows.where("e.n = own")
+        return rows.select(*keep, F.col("e.n").alias("n"), F.posexplode_outer("e.f").alias("pos", "fp"))
+
+    bench = windows(items, ["item_id", "words"], True).select("item_id", "n", "fp", F.expr("slice(words, pos + 1, n)").alias("window")).where("pos is not null").distinct()
     n_bench = bench.count()
     # The probe side carries fingerprints alone; texts come back only for hits.
     hay = windows(docs.select(text_key().alias("key"), words().alias("words")), ["key"], False)
