@@ -70,7 +70,8 @@ def tile_best(qid, q, cid, c, k: int):
     q64, c64 = q.astype(np.float64), c.astype(np.float64)
     for i in range(len(qid)):
         at = np.flatnonzero((near[i] + slack[i] >= floor[i]) & ~own[i])
-        score = (c64[at] * q64[i]).sum(axis=1)
+        # Summed from the first component to the last, so that a score does not depend on the block it was found in.
+        score = np.cumsum(c64[at] * q64[i], axis=1)[:, -1]
         best = at[np.lexsort((cid[at], -score))[:k]] if len(at) else at
         scores = dict(zip(at.tolist(), score.tolist()))
         out += [(int(qid[i]), int(cid[j]), scores[int(j)]) for j in best]
