@@ -185,6 +185,25 @@ def test_repeats(docs, texts):
         assert (r["n_words"], r["n_removed"], r["kept"]) == (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
 
 
+def test_repeats_inside_one_text_and_shards(spark, monkeypatch):
+    rng = random.Random(5)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage, edited = fresh(50), fresh(120)
+    texts = [
+        " ".join(fresh(20) + passage + fresh(9) + passage[:40]), "\t".join(passage + fresh(3)), " ".join(["a"] * 36), " ".join(["a", "b"] * 30),
+        " ".join(edited), " ".join(edited[:60] + ["x"] + edited[61:]), " ".join(fresh(34)), " ".join(edited), "\u00a0".join(passage), None, " ".join(passage[:34]),
+    ]
+    rows = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "doc_id long, text string, key string").coalesce(1)
+    monkeypatch.setattr(repeats, "SHARD_CHARS", 500)
+    test_repeats(rows, texts)
+
+
+def test_automaton_finds_overlapping_phrases():
+    words = [b"a"] * 9 + [b"b"]
+    automaton, numbers = repeats.compile_automaton({tuple(words[:8]), tuple(words[2:])})
+    assert repeats._located(words + [b"z"], automaton, numbers).tolist() == [True, True, True, False]
+
+
 def test_toxicity_and_language_on_held_out_rows(spark, sf):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in queries.op4_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
