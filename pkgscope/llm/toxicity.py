@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trains
+from .common import cut, trains
 
 MAX_TERMS = 2000
 MIN_DOCS = 3
@@ -48,10 +48,15 @@ def fold(text: str | None) -> str:
 _TABLE = str.maketrans(LOOKALIKES)
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """Term to positive log-odds weight, learned from labelled rows with trains()."""
-    marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(trains()).join(marked, "doc_id")
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic of every labelled row with trains(), written once so that texts are shuffled once."""
+    marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return cut(rows.where(trains()).join(marked, "doc_id").select("doc_id", "text", "toxic"))
+
+
+def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
+    """Term to positive log-odds weight, learned from labelled() rows."""
 
     def words(batches):
         import pandas as pd
@@ -109,13 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The lexicon and a logistic over (log total, log rate), fitted on at most FIT_ROWS labelled rows."""
     import numpy as np
 
-    lexicon = learn_lexicon(docs, labels)
+    rows = labelled(docs, labels)
+    lexicon = learn_lexicon(rows)
     if not lexicon:
         return {"lexicon": {}, "beta": [-20.0, 0.0, 0.0]}
-    marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(trains()).join(marked, "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    got = _feature_rows(rows, ["doc_id", "toxic"], lexicon, "doc_id long, toxic int, total double, rate double").toPandas()
+    found = _feature_rows(rows, ["doc_id", "toxic"], lexicon, "doc_id long, toxic int, total double, rate double")
+    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "total", "rate").limit(FIT_ROWS).toPandas()
     x = np.column_stack([np.ones(len(got)), np.log1p(got["total"]), np.log1p(got["rate"])])
     y = got["toxic"].to_numpy(float)
     beta = np.zeros(3)
