@@ -1,14 +1,14 @@
-"""Operator 2: n-gram Jaccard join by a MinHash LSH forest.
-
-Equal texts become one node. Each node has TREES signatures of DEPTH minhashes; a tree's sorted
-prefixes form its trie. Prefixes are shortened from DEPTH to the greatest length whose recall at the
-threshold reaches RECALL, ``least_prefix()``. Nodes that share a prefix of that length are
-candidates: all pairs of small buckets (SMALL nodes at most), while in larger ones every node meets
-the leader of its prefix at each length, and those that fail meet a new leader among themselves until
-none is left, so work stays linear in a bucket. Candidates are verified on their whole shingle sets
-(five words, 64-bit hashes). Classes are the connected components; links counts a node's verified
-partners. Texts under five words are one shingle; null and wordless texts link to nothing and are
-each a class of their own; repeated rows share a class; other columns are ignored.
+"""Operator 2: n-gram Jaccard join by MinHash prefixes.
+
+Equal texts become one node. Each node has TREES signatures of DEPTH minhashes, cut to the greatest
+length whose recall at the threshold reaches RECALL, ``least_prefix()``. Nodes that share a prefix of
+that length in a tree are candidates, and every such pair is verified once, in the first tree where
+they meet, on whole shingle sets (five words, 64-bit hashes). Large buckets are dealt into blocks of
+about BLOCK nodes, and each pair of blocks is one unit of work; pairs never become rows: a unit
+gives each node's number of links and the least node of its component there. Classes are the
+connected components; links counts a node's verified partners. Texts under five words are one
+shingle; null and wordless texts link to nothing and are each a class of their own; repeated rows
+share a class; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from .common import cut, text_key
 from .graph import components
 
 WORDS_PER_SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL, SMALL = 16, 8, 0.995, 8
+TREES, DEPTH, RECALL, BLOCK = 16, 8, 0.995, 256
 
 
 def least_prefix(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -31,7 +31,7 @@ def least_prefix(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
 
 
 def _signatures(docs: DataFrame, n: int, least: int) -> DataFrame:
-    """key, tree, prefixes: array of prefix hashes from the shortest to the longest."""
+    """key, prefixes: the hash of the first ``least`` minhashes in each tree."""
 
     def run(batches):
         import numpy as np
@@ -54,16 +54,12 @@ def _signatures(docs: DataFrame, n: int, least: int) -> DataFrame:
                     low = np.minimum(low, (x ^ (x >> np.uint64(32))).min(axis=0))
                 low = low.reshape(TREES, DEPTH)
                 prefix = np.zeros(TREES, np.uint64)
-                kept = []
-                for d in range(DEPTH):
+                for d in range(least):
                     prefix = mix(prefix * np.uint64(31) + low[:, d])
-                    if d + 1 >= least:
-                        kept.append(prefix.astype(np.int64))
-                kept = np.stack(kept, axis=1)
-                rows += [(key, t, kept[t]) for t in range(TREES)]
-            yield pd.DataFrame(rows, columns=["key", "tree", "prefixes"])
+                rows.append((key, prefix.astype(np.int64)))
+            yield pd.DataFrame(rows, columns=["key", "prefixes"])
 
-    return docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInPandas(run, "key string, tree int, prefixes array<long>")
+    return docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInPandas(run, "key string, prefixes array<long>")
 
 
 def _shingle_table(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
@@ -80,63 +76,101 @@ def _shingle_table(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     return texts.mapInPandas(run, "key string, shingles binary")
 
 
-def _verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """a, b of the pairs whose exact Jaccard similarity reaches the threshold."""
-    left = shingles.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    right = shingles.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
+def _verified(prefixes, shingles, tree: int, own, threshold: float):
+    """Matrix of the pairs that first meet in this tree and reach the threshold; own has each node's side where two blocks meet, else None."""
+    import numpy as np
+
+    m = len(shingles)
+    ask = np.triu(np.ones((m, m), bool), 1)
+    if own is not None:
+        ask &= own[:, None] != own[None, :]
+    for t in range(tree):
+        ask &= prefixes[:, t, None] != prefixes[None, :, t]
+    sizes = np.fromiter(map(len, shingles), np.int64, m)
+    ask &= np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :])
+    x, y = np.nonzero(ask)
+    if len(x) <= 4 * m:
+        both = np.fromiter((len(np.intersect1d(shingles[i], shingles[j], assume_unique=True)) for i, j in zip(x, y)), np.int64, len(x))
+    else:
+        # Shingles of one node alone add to no intersection; the others are columns of a 0/1 matrix, made a strip at a time.
+        _, column, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+        row, number = np.repeat(np.arange(m), sizes), np.cumsum(times > 1) - 1
+        shared = times[column] > 1
+        row, column = row[shared], number[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        product = np.zeros((m, m), np.float32)  # whole numbers under 2**24: exact
+        for at in range(0, int(number[-1]) + 1, 4096):
+            lo, hi = np.searchsorted(column, [at, at + 4096])
+            strip = np.zeros((m, 4096), np.float32)
+            strip[row[lo:hi], column[lo:hi] - at] = 1
+            product += strip @ strip.T
+        both = product[x, y].astype(np.int64)
+    ask[x, y] = both >= threshold * (sizes[x] + sizes[y] - both)
+    return ask
+
+
+def _unit_links(keys, prefixes, shingles, tree: int, own, threshold: float) -> list[tuple[str, str, int]]:
+    """(key, least key of its component in this unit, number of links here) of the nodes with links."""
+    import numpy as np
+
+    ok = _verified(prefixes, shingles, tree, own, threshold)
+    ok |= ok.T
+    degree = ok.sum(axis=1)
+    at = np.argsort(np.array(keys))
+    rank = np.empty(len(keys), np.int64)
+    rank[at] = np.arange(len(keys))
+    rank = np.where(degree > 0, rank, len(keys))
+    while True:
+        near = np.minimum(rank, np.where(ok, rank[None, :], len(keys)).min(axis=1))
+        if (near == rank).all():
+            return [(keys[i], keys[at[rank[i]]], int(degree[i])) for i in np.nonzero(degree)[0]]
+        rank = near
 
-    def run(batches):
-        import numpy as np
 
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["sa"], batch["sb"]):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(both >= threshold * (len(u) + len(v) - both))
-            yield batch.loc[keep, ["a", "b"]]
+def links(docs: DataFrame, n: int = WORDS_PER_SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """key, to, n: a text of the same class (itself for the least of a unit) and a number of verified links; a key's n add up to its links."""
+    signatures = cut(_signatures(docs, n, least_prefix(threshold)).dropDuplicates(["key"]))
+    trie = signatures.select("key", F.posexplode("prefixes").alias("tree", "p"))
+    prints = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"h{i}") for i in range(2)]
+    buckets = trie.groupBy("tree", "p").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), *prints).where("n > 1")
+    # Buckets of the same nodes in later trees hold no pair that has not met before.
+    buckets = buckets.groupBy("n", "low", "high", "h0", "h1").agg(F.min(F.struct("tree", "p")).alias("at")).select("at.tree", "at.p", "n")
+    members = cut(trie.join(buckets, ["tree", "p"]))
+    shingles = _shingle_table(docs, members.select("key").distinct(), n)
+    nodes = signatures.join(shingles, "key")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    units = members.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    units = units.select("key", "tree", "p", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    unit = ["tree", "p", "i", "j"]
+    dealt = units.join(nodes, "key").repartition(*unit).sortWithinPartitions(*unit)
 
-    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a string, b string")
+    def run(batches):
+        import itertools
 
+        import numpy as np
+        import pandas as pd
 
-def links(docs: DataFrame, n: int = WORDS_PER_SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (a < b) between the keys of different texts."""
-    least = least_prefix(threshold)
-    trie = _signatures(docs, n, least).dropDuplicates(["key", "tree"])
-    bucket = trie.select("key", "tree", F.col("prefixes")[0].alias("p"), "prefixes")
-    shared = bucket.groupBy("tree", "p").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(bucket.join(shared, ["tree", "p"]))
-    shingles = cut(_shingle_table(docs, members.select("key").distinct(), n))
-
-    def ordered(x, y):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-    small = members.where(F.col("n") <= SMALL).select("tree", "p", "key")
-    pairs = small.alias("x").join(small.alias("y"), ["tree", "p"]).where("x.key < y.key").select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    large = members.where(F.col("n") > SMALL).select("key", "tree", F.posexplode("prefixes").alias("depth", "prefix"))
-    # A leader is drawn anew in each tree and at each length, so that different texts lead.
-    leaders = large.groupBy("tree", "depth", "prefix").agg(F.min_by("key", F.xxhash64("key", "tree", "depth")).alias("leader"))
-    stars = cut(large.join(leaders, ["tree", "depth", "prefix"]).where("key <> leader").select("key", "tree", "depth", "prefix", "leader"))
-    found = cut(_verify(pairs.union(stars.select(*ordered(F.col("key"), F.col("leader")))).distinct(), shingles, threshold))
-    rest = stars.where("depth = 0").select("key", "tree", "prefix", "leader")
-    last = found
-    while True:
-        linked = last.select("a", "b", F.lit(True).alias("ok"))
-        pair = rest.select("*", *ordered(F.col("key"), F.col("leader")))
-        failed = pair.join(linked, ["a", "b"], "left_anti").select("key", "tree", "prefix")
-        leaders = failed.groupBy("tree", "prefix").agg(F.min_by("key", F.xxhash64("key", "tree")).alias("leader"))
-        rest = cut(failed.join(leaders, ["tree", "prefix"]).where("key <> leader"))
-        if rest.isEmpty():
-            return found
-        last = cut(_verify(rest.select(*ordered(F.col("key"), F.col("leader"))).distinct(), shingles, threshold))
-        found = cut(found.union(last).distinct())
+        rows = (r for b in batches for r in zip(b["tree"], b["p"], b["i"], b["j"], b["own"], b["key"], b["prefixes"], b["shingles"]))
+        out = []
+        for (tree, _, i, j), group in itertools.groupby(rows, key=lambda r: r[:4]):
+            own, keys, prefixes, sets = zip(*(r[4:] for r in group))
+            if len(keys) > 1:
+                own = None if i == j else np.array(own)
+                out += _unit_links(keys, np.stack(prefixes), [np.frombuffer(x, np.uint64) for x in sets], tree, own, threshold)
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["key", "to", "n"])
+                out = []
+        yield pd.DataFrame(out, columns=["key", "to", "n"])
+
+    return cut(dealt.mapInPandas(run, "key string, to string, n long"))
 
 
 def join_classes(docs: DataFrame, n: int = WORDS_PER_SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (different linked texts), copies (rows of the same text)."""
     found = links(docs, n, threshold)
-    roots = components(found)
-    degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    roots = components(found.where("key <> to").select(F.col("key").alias("a"), F.col("to").alias("b")))
+    degree = found.groupBy(F.col("key").alias("node")).agg(F.sum("n").alias("n_links"))
     nodes = roots.join(degree, "node").withColumnRenamed("node", "key")
     wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"(?U)\w")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), wordless.alias("wordless"))

@@ -235,3 +235,40 @@ def test_null_language_and_hash(spark, docs):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
     assert got[0] == got[1] == got[2] == "und"
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def jaccard_links(texts):
+    def shingles(t):
+        w = re.findall(r"\w+", t.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets, out = [shingles(t) for t in texts], Counter()
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                out.update((i, j))
+    return [out[i] for i in range(len(texts))]
+
+
+def test_jaccard_counts_all_links_of_a_large_family(spark):
+    near = [f"w{i}" for i in range(400)]
+    texts = [" ".join(near[:k] + ["new"] + near[k + 1 :]) for k in range(5, 395)] + [" ".join(near)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join_classes(rows).collect()}
+    assert got == {i: (0, n) for i, n in enumerate(jaccard_links(texts))} and min(n for _, n in got.values()) == len(texts) - 1
+
+
+def test_jaccard_verifies_every_pair_that_shares_a_prefix(spark):
+    # A family that drifts: its ends are under the threshold, so links are neither none nor all.
+    import numpy as np
+
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(words[k : k + 300]) for k in range(0, 300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.join_classes(rows).collect()}
+    least = jaccard.least_prefix()
+    sign = {r["key"]: np.array(r["prefixes"]) for r in jaccard._signatures(rows, 5, least).collect()}
+    signs = [sign[hashlib.md5(t.encode()).hexdigest()] for t in texts]
+    meet = lambda i, j: (signs[i] == signs[j]).any()
+    near = lambda i, j: 296 - abs(i - j) >= 0.8 * (296 + abs(i - j))
+    assert got == {i: sum(i != j and near(i, j) and meet(i, j) for j in range(300)) for i in range(300)}
