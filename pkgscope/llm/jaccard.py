@@ -184,10 +184,14 @@ def join_classes(docs: DataFrame, n: int = WORDS_PER_SHINGLE, threshold: float =
 
 
 def keep_one(docs: DataFrame, n: int = WORDS_PER_SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each class: the one of least doc_id. Wordless rows all stay."""
-    classes = join_classes(docs, n, threshold)
-    kept = classes.where("doc_id <=> class_id").select("doc_id").distinct()
-    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"(?U)\w")
-    marked = docs.withColumn("_wordless", wordless)
-    one = marked.where("not _wordless").join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
-    return one.union(marked.where("_wordless")).drop("_wordless")
+    """docs with one row of each class: of least doc_id (nulls last), then of least text key; ids may be null or repeat. Wordless rows all stay."""
+    found = links(docs, n, threshold)
+    roots = components(found.where("key <> to").select(F.col("key").alias("a"), F.col("to").alias("b")))
+    marked = docs.withColumns({"_key": text_key(), "_wordless": ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"(?U)\w")})
+    worded = marked.where("not _wordless")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_key").alias("key"))
+    first = worded.groupBy("_key").agg(F.min(order).alias("first"))
+    first = first.join(roots, F.col("_key") == F.col("node"), "left").groupBy(F.coalesce("root", "_key").alias("root")).agg(F.min("first").alias("first"))
+    kept = first.select(F.col("first.key").alias("_kept"), F.col("first.doc_id").alias("_id"))
+    one = worded.join(kept, (F.col("_key") == F.col("_kept")) & worded["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return one.dropDuplicates(["_key"]).union(marked.where("_wordless")).drop("_key", "_wordless")

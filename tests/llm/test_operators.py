@@ -272,3 +272,18 @@ def test_jaccard_verifies_every_pair_that_shares_a_prefix(spark):
     meet = lambda i, j: (signs[i] == signs[j]).any()
     near = lambda i, j: 296 - abs(i - j) >= 0.8 * (296 + abs(i - j))
     assert got == {i: sum(i != j and near(i, j) and meet(i, j) for j in range(300)) for i in range(300)}
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(200)]
+    text = lambda tag: " ".join(f"{tag}{w}" for w in base)
+    near = lambda tag: text(tag) + " tail"
+    rows = [
+        (None, text("a"), "x"), (None, text("b"), "x"), (None, text("b"), "x"), (None, None, "x"), (None, "", "x"), (None, "", "x"),
+        (5, text("c"), "x"), (9, near("c"), "x"), (3, text("d"), "x"), (5, near("d"), "x"), (5, text("e"), "x"), (5, text("e"), "x"), (None, near("e"), "x"),
+        (7, text("f"), "x"), (7, near("f"), "x"),
+    ]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()
+    firsts = sorted([text("f"), near("f")], key=lambda t: hashlib.md5(t.encode()).hexdigest())[:1]
+    want = [(None, text("a")), (None, text("b")), (None, None), (None, ""), (None, ""), (5, text("c")), (3, text("d")), (5, text("e")), (7, firsts[0])]
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(want) and got[0].asDict().keys() == {"doc_id", "text", "key"}
