@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import metrics, similarity, splits
+from ..operators import metrics, names, similarity, splits
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -205,6 +205,17 @@ def typosquat_distance(spark, sf_dir):
     return names.join(known, near, "left").groupBy("n_name").agg(F.least(F.lit(4), F.coalesce(F.min(d), F.lit(4))).cast("int").alias("distance"))
 
 
+@query("""WITH p AS (SELECT lower(c_name) AS known FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_name IS NOT NULL GROUP BY c_name ORDER BY count(*) DESC, c_name LIMIT 2000),
+n AS (SELECT DISTINCT lower(name) AS name FROM (SELECT c_name AS name FROM customer UNION ALL SELECT p_name FROM part) WHERE name IS NOT NULL)
+SELECT name, CAST(least(coalesce(min(levenshtein(name, known)), 4), 4) AS INTEGER) AS distance FROM n LEFT JOIN p ON abs(length(name) - length(known)) <= 3 GROUP BY name""")
+def typosquat_names(spark, sf_dir):
+    """Every customer and part name against the 2,000 customers of most orders."""
+    customers = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    ordered = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).join(customers, "c_custkey")
+    every = customers.select("name").union(load(spark, sf_dir, "part").select("p_name"))
+    return names.distances(every, names.most_frequent(ordered, 2000))
+
+
 @query("""SELECT label, i AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL""")
 def mean_vectors(spark, sf_dir):
     parts = load(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
