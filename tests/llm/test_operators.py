@@ -287,3 +287,21 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     firsts = sorted([text("f"), near("f")], key=lambda t: hashlib.md5(t.encode()).hexdigest())[:1]
     want = [(None, text("a")), (None, text("b")), (None, None), (None, ""), (None, ""), (5, text("c")), (3, text("d")), (5, text("e")), (7, firsts[0])]
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(want) and got[0].asDict().keys() == {"doc_id", "text", "key"}
+
+
+@pytest.mark.parametrize("rare", [{}, {7: 1}, {7: 1, 11: 2, 13: 1}])
+def test_configurations_beat_best_fit_with_rare_lengths(rare):
+    histogram = {510: 600, 270: 600, 260: 600, 230: 1200} | rare
+    plan = packing.plan_configurations(dict(histogram), 1000)
+    held = Counter()
+    for config, times in plan:
+        assert times > 0 and sum(w * k for w, k in config.items()) <= 1000
+        for w, k in config.items():
+            held[w] += k * times
+    assert held == Counter(histogram) and sum(times for _, times in plan) <= 900 + 6
+    assert sum(times for _, times in packing._best_fit(dict(histogram), 1000)) >= 1000
+
+
+def test_configurations_cover_common_lengths_beside_a_rare_one():
+    placed = packing.solve_configurations({7: 1, 1500: 1000, 2000: 1000}, 4096, 12, 0.001)
+    assert 990 <= sum(times for _, times in placed) <= 1000
