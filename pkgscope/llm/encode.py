@@ -1,43 +1,89 @@
-"""Exact token ids by a public tokenizer, encoded once per distinct white-space chunk."""
+"""Exact token ids by a public tokenizer, encoded once per distinct word of a slice of texts."""
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
+from functools import lru_cache
 
-CACHE_CHUNKS = 400_000
-CACHE_CHARS = 64
+CACHE_WORDS = 400_000
+SLICE_BYTES = 8_000_000
+# The vocabulary's own word pattern, restated for lower-cased ASCII and Latin-1 letters.
+PLAIN = re.compile(r"[!-~À-ÿ]+")
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-z0-9à-öø-ÿß]+")
 
 
-class ChunkEncoder:
-    """Encodes texts with ``tokenizers`` through a bounded cache of chunks.
+class WordEncoder:
+    """Encodes Arrow arrays of texts with ``tokenizers`` through a bounded cache of words.
 
     The vocabulary drops white space before it merges, so a text's ids are those of its chunks
-    between spaces and newlines, one after the other. Ids are little-endian unsigned 32-bit bytes.
+    between spaces and newlines, one after the other. Plain chunks (ASCII and Latin-1 letters, which
+    normalisation only lower-cases) are split into words here and meet the merges alone; all others
+    go through the whole tokenizer.
     """
 
     def __init__(self, vocabulary: str):
+        import json
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.whole = Tokenizer.from_file(vocabulary)
+        parts = json.loads(self.whole.to_str())
+        parts |= {"normalizer": None, "added_tokens": [], "post_processor": None}
+        parts["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.merges = Tokenizer.from_str(json.dumps(parts))
         self.cache: dict[str, bytes] = {}
 
-    def _bytes(self, chunks: list[str]) -> list[bytes]:
+    def _encode(self, tokenizer, strings: list[str], into: dict[str, bytes]) -> None:
+        for at in range(0, len(strings), 4096):
+            part = strings[at : at + 4096]
+            for s, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                into[s] = array("I", found.ids).tobytes()
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each chunk."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        cache, more = self.cache, {}
+        low = [c.lower() for c in chunks]
+        mixed = {c: WORD.findall(c) for c in {c for c in low if not (c.isascii() and c.isalpha())} if PLAIN.fullmatch(c) and "<|" not in c}
+        words = {c for c in low if c.isascii() and c.isalpha()}.union(*mixed.values())
+        self._encode(self.merges, [w for w in words if w not in cache], cache)
+        for c, found in mixed.items():
+            more[c] = b"".join([cache[w] for w in found])
+        odd = {c for c, l in zip(chunks, low) if l not in more and l not in cache}
+        self._encode(self.whole, list(odd), more)
+        return [more[c] if c in odd else more[l] if l in more else cache[l] for c, l in zip(chunks, low)]
+
+    def slices(self, texts):
+        """(ids, ends) of neighbouring texts at a time: all their ids as one array, and where each text's ids end. Null texts count as empty."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            low = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, low + SLICE_BYTES, "right")))
+            chunks = pc.split_pattern(pc.replace_substring(texts[at:to], "\n", " "), " ")
+            words = chunks.flatten().dictionary_encode()
+            which = words.indices.to_numpy()
+            found = self._ids_of(words.dictionary.to_pylist())
+            flat, lengths = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+            first = np.cumsum(lengths) - lengths
+            each = lengths[which]
+            after = np.cumsum(each)
+            ids = flat[np.repeat(first[which] - (after - each), each) + np.arange(after[-1] if len(after) else 0)]
+            ends = np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False))
+            yield ids, np.concatenate([[0], after])[ends]
+            at = to
 
-    def encode(self, texts) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        cache = self.cache
-        missing = [c for c in {c for chunks in split for c in chunks} if c not in cache]
-        long = {}
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for c, ids in zip(part, self._bytes(part)):
-                (cache if len(c) <= CACHE_CHARS else long)[c] = ids
-        seen = {**cache, **long} if long else cache
-        return [b"".join(map(seen.__getitem__, chunks)) for chunks in split]
+
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> WordEncoder:
+    """The worker's encoder, kept from task to task."""
+    return WordEncoder(vocabulary)

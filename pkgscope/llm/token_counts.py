@@ -13,19 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .encode import ChunkEncoder
+from .encode import encoder
 
 
 def token_lengths(docs: DataFrame, vocabulary: str, extra: int = 0) -> DataFrame:
     """doc_id, n_tokens of every whole text."""
 
+    from pyspark.sql.types import StructType
+
+    made = StructType.fromDDL("doc_id long, n_tokens long")
+
     def run(batches):
-        encoder = ChunkEncoder(vocabulary)
+        import numpy as np
+        import pyarrow as pa
+
         for batch in batches:
-            n = [len(x) // 4 + extra for x in encoder.encode(batch["text"])]
-            yield batch[["doc_id"]].assign(n_tokens=n)
+            n = [np.diff(ends, prepend=0) for _, ends in encoder(vocabulary).slices(batch.column("text"))]
+            n = np.concatenate(n) + extra if n else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=made.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, made)
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
