@@ -1,11 +1,13 @@
 """Operator 4: toxicity by a weighted lexicon and an Aho-Corasick automaton.
 
 Texts are folded (lower case, accents off, homoglyphs and digit substitutions to letters, masking
-marks inside words dropped). Words that labelled documents of class 1 hold more often get their
-log-odds as weights; counts cover every labelled row that may be learned from, and the lexicon
-keeps at most MAX_TERMS terms. Hits inside an exception phrase do not count. The score is a logistic
-of the hits' weight, plain and per length. Null and empty texts score as a text without hits;
-repeated rows score alike; without labels of both classes every score is 0; extra columns are kept out.
+marks inside words dropped). A sample of about FIT_ROWS labelled documents, chosen by a hash of the
+labelled ids and broadcast as ids, teaches the weights (log-odds of words that class 1 holds more
+often), exception phrases (a term with a neighbour, where class 0 alone holds it) and the logistic.
+Hits inside an exception phrase, learned or given, do not count. The score is a logistic of the hits'
+weight, plain and per length. Null and empty texts score as a text without hits; repeated rows score
+alike; without labels of both classes every score is 2e-9; labels that are null, repeated or of
+unknown documents do no harm; other columns are kept out.
 """
 
 from __future__ import annotations
@@ -13,9 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, trains
+from .common import map_texts, share_of, trains
 
-MAX_TERMS = 2000
 MIN_DOCS = 3
 FIT_ROWS = 20_000
 # Look-alike letters and digit substitutions, and phrases in which a term is harmless.
@@ -25,73 +26,88 @@ LOOKALIKES = {
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l",
 }
 EXCEPTIONS = ("clown fish", "trash can", "trash bin", "garbage collector", "garbage collection", "not an idiot", "not a moron", "not worthless", "not stupid")
+_TABLE = str.maketrans(LOOKALIKES)
 
 
 def fold(text: str | None) -> str:
     """Folded words joined by single spaces, with a space at both ends."""
-    import re
     import unicodedata
 
-    s = unicodedata.normalize("NFKD", text or "").lower()
+    s = (text or "").lower()
     if not s.isascii():
-        s = "".join(c for c in s if not unicodedata.combining(c))
+        s = "".join(c for c in unicodedata.normalize("NFKD", text).lower() if not unicodedata.combining(c))
     words = []
-    for w in re.split(r"\s+", s):
-        w = w.strip(".,;:?\"'()[]{}<>&%#*_-~^=+/\\`")
-        w = w.rstrip("!$|").translate(_TABLE) if any(c.isalpha() for c in w) else w
-        w = "".join(c for c in w if c.isalnum())
+    for w in s.split():
+        if not (w.isascii() and w.isalpha()):
+            w = w.strip(".,;:?\"'()[]{}<>&%#*_-~^=+/\\`")
+            w = w.rstrip("!$|").translate(_TABLE) if any(map(str.isalpha, w)) else w
+            w = "".join(filter(str.isalnum, w))
         if w:
             words.append(w)
     return f" {' '.join(words)} "
 
 
-_TABLE = str.maketrans(LOOKALIKES)
-
-
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of every labelled row with trains(), written once so that texts are shuffled once."""
-    marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """text, toxic of about fit_rows labelled rows with trains(). Only ids are broadcast, at most about fit_rows of them; texts are not shuffled."""
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & trains()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    chosen = marked.where(share_of(F.xxhash64("doc_id"), fit_rows, marked.count())).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cut(rows.where(trains()).join(marked, "doc_id").select("doc_id", "text", "toxic"))
-
+    return rows.where(trains()).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
-def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """Term to positive log-odds weight, learned from labelled() rows."""
 
-    def words(batches):
-        import pandas as pd
+def _counted(rows: DataFrame, make) -> DataFrame:
+    """term, c1, c0: labelled documents of each class for the distinct terms that make() finds in a text."""
+    found = map_texts(rows, lambda: lambda texts, of=make(): [[sorted(of(t)) for t in texts]], "terms array<string>")
+    each = found.select("toxic", F.explode("terms").alias("term"))
+    return each.groupBy("term").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0"))
 
-        for batch in batches:
-            out = [(w, t) for text, t in zip(batch["text"], batch["toxic"]) for w in set(fold(text).split()) if len(w) <= 40]
-            yield pd.DataFrame(out, columns=["word", "toxic"])
 
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
+    """Term to positive log-odds weight, learned from labelled() rows."""
     n1, n0 = rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not n1 or not n0:
         return {}
-    counts = rows.select("text", "toxic").mapInPandas(words, "word string, toxic int").groupBy("word").agg(
-        F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0")
-    )
+    counts = _counted(rows, lambda: lambda text: set(fold(text).split()))
     weight = F.ln((F.col("c1") + 0.5) / (n1 + 1)) - F.ln((F.col("c0") + 0.5) / (n0 + 1))
     # Weighed by its standard error, so that chance words of few documents stay out.
     z = weight / F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c0") + 0.5))
-    best = counts.where(F.col("c1") >= MIN_DOCS).select("word", weight.alias("w"), z.alias("z")).where("w > 1.0 and z > 3.5")
-    return {r["word"]: r["w"] for r in best.orderBy(F.desc("z"), "word").limit(max_terms).collect()}
+    best = counts.where(F.col("c1") >= MIN_DOCS).select("term", "c1", "c0", weight.alias("w"), z.alias("z")).where("w > 1.0 and z > 3.5")
+    return {r["term"]: r["w"] for r in best.collect()}
+
+
+def learn_exceptions(rows: DataFrame, lexicon: dict[str, float]) -> list[str]:
+    """A term and its neighbour, where no document of class 1 holds both though the term's own rate makes three or more likely."""
+    def make():
+        def phrases(text):
+            words = fold(text).split()
+            out = set()
+            for i, w in enumerate(words):
+                if w in lexicon:
+                    out.add(w)
+                    out.update(f"{words[k]} {words[k + 1]}" for k in (i - 1, i) if 0 <= k and k + 1 < len(words))
+            return out
+
+        return phrases
 
+    counts = {r["term"]: (r["c1"], r["c0"]) for r in _counted(rows, make).where("c1 = 0 and c0 >= 3 or instr(term, ' ') = 0").collect()}
+    own = {t: c1 / (c1 + c0) for t, (c1, c0) in counts.items() if " " not in t}
+    return sorted(p for p, (_, c0) in counts.items() if " " in p and min(own[w] for w in p.split() if w in own) * c0 >= 3)
 
-def _features(lexicon: dict[str, float]):
+
+def _features(lexicon: dict[str, float], exceptions):
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
     for term, w in lexicon.items():
         automaton.add_word(f" {term} ", (term, w))
-    for phrase in EXCEPTIONS:
+    for phrase in exceptions:
         automaton.add_word(f" {phrase} ", (phrase, None))
     automaton.make_automaton()
 
     def of(text):
         s = fold(text)
         hits, spared = [], []
-        for end, (term, w) in automaton.iter(s):
+        for end, (term, w) in automaton.iter(s) if len(automaton) else ():
             (hits if w is not None else spared).append((end - len(term), end, w or 0.0))
         total = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in spared))
         n = max(1, s.count(" ") - 1)
@@ -100,54 +116,51 @@ def _features(lexicon: dict[str, float]):
     return of
 
 
-def _feature_rows(docs: DataFrame, keep: list[str], lexicon: dict[str, float], schema: str) -> DataFrame:
-    def run(batches):
-        of = _features(lexicon)
-        for batch in batches:
-            found = [of(t) for t in batch["text"]]
-            yield batch[keep].assign(total=[x for x, _ in found], rate=[y for _, y in found])
+def _feature_rows(docs: DataFrame, model: dict) -> DataFrame:
+    lexicon, exceptions = model["lexicon"], model["exceptions"]
+
+    def make():
+        of = _features(lexicon, exceptions)
+        return lambda texts: list(zip(*map(of, texts))) or [[], []]
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return map_texts(docs.withColumn("text", F.col("text").cast("string")), make, "total double, rate double")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """The lexicon and a logistic over (log total, log rate), fitted on at most FIT_ROWS labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, fit_rows: int = FIT_ROWS) -> dict:
+    """The lexicon, exception phrases (those given and those learned) and a logistic over (log total, log rate)."""
     import numpy as np
 
-    rows = labelled(docs, labels)
-    lexicon = learn_lexicon(rows)
-    if not lexicon:
-        return {"lexicon": {}, "beta": [-20.0, 0.0, 0.0]}
-    found = _feature_rows(rows, ["doc_id", "toxic"], lexicon, "doc_id long, toxic int, total double, rate double")
-    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "total", "rate").limit(FIT_ROWS).toPandas()
-    x = np.column_stack([np.ones(len(got)), np.log1p(got["total"]), np.log1p(got["rate"])])
-    y = got["toxic"].to_numpy(float)
+    rows = labelled(docs, labels, fit_rows)
+    model = {"lexicon": learn_lexicon(rows), "exceptions": list(exceptions), "beta": [-20.0, 0.0, 0.0]}
+    if not model["lexicon"]:
+        return model
+    model["exceptions"] += learn_exceptions(rows, model["lexicon"])
+    # Equal features are one row with a count; rounding bounds their number.
+    cells = _feature_rows(rows, model).groupBy(F.round(F.log1p("total"), 2).alias("x1"), F.round(F.log1p("rate"), 2).alias("x2"), "toxic").count()
+    got = cells.orderBy("x1", "x2", "toxic").toPandas()
+    x = np.column_stack([np.ones(len(got)), got["x1"], got["x2"]])
+    y, n = got["toxic"].to_numpy(float), got["count"].to_numpy(float)
     beta = np.zeros(3)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
-        beta += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * beta)
-    return {"lexicon": lexicon, "beta": beta.tolist()}
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+        beta += np.linalg.solve(h, x.T @ (n * (y - p)) - 1e-2 * beta)
+    return model | {"beta": beta.tolist()}
+
+
+def _chance(model: dict):
+    b0, b1, b2 = model["beta"]
+    return 1 / (1 + F.exp(-(F.lit(b0) + b1 * F.log1p("total") + b2 * F.log1p("rate"))))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score of every whole text."""
-    b0, b1, b2 = model["beta"]
-    rows = _feature_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], model["lexicon"], "doc_id long, total double, rate double")
-    z = F.lit(b0) + b1 * F.log1p("total") + b2 * F.log1p("rate")
-    return rows.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _feature_rows(rows, model).select("doc_id", _chance(model).alias("score"))
 
 
 def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, columns unchanged."""
-    lexicon, (b0, b1, b2) = model["lexicon"], model["beta"]
-
-    def run(batches):
-        import numpy as np
-
-        of = _features(lexicon)
-        for batch in batches:
-            z = np.array([b0 + b1 * np.log1p(t) + b2 * np.log1p(r) for t, r in map(of, batch["text"])])
-            yield batch[1 / (1 + np.exp(-z)) < threshold] if len(batch) else batch
-
-    return docs.mapInPandas(run, docs.schema)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    scored = _feature_rows(docs.select(whole, "text"), model)
+    return scored.where(_chance(model) < threshold).select("row.*")
