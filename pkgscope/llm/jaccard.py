@@ -1,14 +1,17 @@
-"""Operator 2: n-gram Jaccard join by MinHash prefixes.
-
-Equal texts become one node. Each node has TREES signatures of DEPTH minhashes, cut to the greatest
-length whose recall at the threshold reaches RECALL, ``least_prefix()``. Nodes that share a prefix of
-that length in a tree are candidates, and every such pair is verified once, in the first tree where
-they meet, on whole shingle sets (five words, 64-bit hashes). Large buckets are dealt into blocks of
-about BLOCK nodes, and each pair of blocks is one unit of work; pairs never become rows: a unit
-gives each node's number of links and the least node of its component there. Classes are the
-connected components; links counts a node's verified partners. Texts under five words are one
+"""Operator 2: n-gram Jaccard join by a MinHash LSH forest.
+
+Equal texts become one node. Each node has TREES signatures of DEPTH minhashes; a tree is the sorted
+prefix trie of one of them. Matched prefixes shorten from DEPTH: at each length the pairs that newly
+match in some tree are verified on whole shingle sets (five words, 64-bit hashes), and a node stops
+once the recall that its least similar verified link implies at that length reaches RECALL. Nodes
+without a link go on to ``least_prefix()``, where a link at the threshold itself is met with that recall.
+
+Subtrees at that least prefix are the units of work. Large ones are dealt into blocks of about BLOCK
+nodes and each pair of blocks is one unit; a pair counts in the first tree where it meets; pairs never
+become rows: a unit gives each node's number of links and the least node of its component there. Classes
+are the connected components; links counts a node's verified partners. Texts under five words are one
 shingle; null and wordless texts link to nothing and are each a class of their own; repeated rows
-share a class; other columns are ignored.
+share a class; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,22 +19,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key
+from .common import cut, fresh, join_hot, text_key
 from .graph import components
 
 WORDS_PER_SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL, BLOCK = 16, 8, 0.995, 256
 
 
+def recall_at(similarity, k: int):
+    """Chance that two sets of this similarity match on k minhashes in one tree or more."""
+    return 1 - (1 - similarity**k) ** TREES
+
+
 def least_prefix(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     k = DEPTH
-    while k > 1 and 1 - (1 - threshold**k) ** TREES < recall:
+    while k > 1 and recall_at(threshold, k) < recall:
         k -= 1
     return k
 
 
 def _signatures(docs: DataFrame, n: int, least: int) -> DataFrame:
-    """key, prefixes: the hash of the first ``least`` minhashes in each tree."""
+    """key, prefixes (hash of the first ``least`` minhashes in each tree), signs (16 bits of each minhash)."""
 
     def run(batches):
         import numpy as np
@@ -56,10 +64,10 @@ def _signatures(docs: DataFrame, n: int, least: int) -> DataFrame:
                 prefix = np.zeros(TREES, np.uint64)
                 for d in range(least):
                     prefix = mix(prefix * np.uint64(31) + low[:, d])
-                rows.append((key, prefix.astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["key", "prefixes"])
+                rows.append((key, prefix.astype(np.int64), low.astype(np.uint16).tobytes()))
+            yield pd.DataFrame(rows, columns=["key", "prefixes", "signs"])
 
-    return docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInPandas(run, "key string, prefixes array<long>")
+    return docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).mapInPandas(run, "key string, prefixes array<long>, signs binary")
 
 
 def _shingle_table(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
@@ -72,11 +80,53 @@ def _shingle_table(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             yield batch[["key"]].assign(shingles=[shingle_set(hashes, t, n).tobytes() for t in batch["text"]])
 
-    texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).join(keys, "key", "left_semi").dropDuplicates(["key"])
-    return texts.mapInPandas(run, "key string, shingles binary")
+    texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    # Copies go before the exchange, so that no task gets all rows of a hot text.
+    return texts.dropDuplicates(["key"]).join(keys, "key", "left_semi").mapInPandas(run, "key string, shingles binary")
+
+
+def _overlaps(shingles):
+    """Function of two index arrays: numbers of common shingles, pair by pair while pairs are few, else from one product for all."""
+    import numpy as np
+
+    m, product = len(shingles), None
+    sizes = np.fromiter(map(len, shingles), np.int64, m)
+
+    def of(x, y):
+        nonlocal product
+        if product is None and len(x) <= 4 * m:
+            return np.fromiter((len(np.intersect1d(shingles[i], shingles[j], assume_unique=True)) for i, j in zip(x, y)), np.int64, len(x))
+        if product is None:
+            # Shingles of one node alone add to no intersection; the others are columns of a 0/1 matrix, made a strip at a time.
+            _, column, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+            row, number = np.repeat(np.arange(m), sizes), np.cumsum(times > 1) - 1
+            shared = times[column] > 1
+            row, column = row[shared], number[column[shared]]
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            product = np.zeros((m, m), np.float32)  # whole numbers under 2**24: exact
+            for at in range(0, int(number[-1]) + 1, 4096):
+                lo, hi = np.searchsorted(column, [at, at + 4096])
+                strip = np.zeros((m, 4096), np.float32)
+                strip[row[lo:hi], column[lo:hi] - at] = 1
+                product += strip @ strip.T
+        return product[x, y].astype(np.int64)
+
+    return of
+
+
+def _matched(signs, x, y):
+    """Longest matched prefix of each pair over all trees."""
+    import numpy as np
+
+    out = np.empty(len(x), np.int64)
+    for at in range(0, len(x), 1 << 14):
+        same = signs[x[at : at + (1 << 14)]] == signs[y[at : at + (1 << 14)]]
+        out[at : at + (1 << 14)] = np.logical_and.accumulate(same, axis=2).sum(axis=2).max(axis=1)
+    return out
 
 
-def _verified(prefixes, shingles, tree: int, own, threshold: float):
+def _verified(prefixes, signs, shingles, tree: int, own, threshold: float, least: int):
     """Matrix of the pairs that first meet in this tree and reach the threshold; own has each node's side where two blocks meet, else None."""
     import numpy as np
 
@@ -89,32 +139,28 @@ def _verified(prefixes, shingles, tree: int, own, threshold: float):
     sizes = np.fromiter(map(len, shingles), np.int64, m)
     ask &= np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :])
     x, y = np.nonzero(ask)
-    if len(x) <= 4 * m:
-        both = np.fromiter((len(np.intersect1d(shingles[i], shingles[j], assume_unique=True)) for i, j in zip(x, y)), np.int64, len(x))
-    else:
-        # Shingles of one node alone add to no intersection; the others are columns of a 0/1 matrix, made a strip at a time.
-        _, column, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
-        row, number = np.repeat(np.arange(m), sizes), np.cumsum(times > 1) - 1
-        shared = times[column] > 1
-        row, column = row[shared], number[column[shared]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        product = np.zeros((m, m), np.float32)  # whole numbers under 2**24: exact
-        for at in range(0, int(number[-1]) + 1, 4096):
-            lo, hi = np.searchsorted(column, [at, at + 4096])
-            strip = np.zeros((m, 4096), np.float32)
-            strip[row[lo:hi], column[lo:hi] - at] = 1
-            product += strip @ strip.T
-        both = product[x, y].astype(np.int64)
-    ask[x, y] = both >= threshold * (sizes[x] + sizes[y] - both)
-    return ask
-
-
-def _unit_links(keys, prefixes, shingles, tree: int, own, threshold: float) -> list[tuple[str, str, int]]:
+    length, common = _matched(signs, x, y), _overlaps(shingles)
+    linked, lowest = np.zeros((m, m), bool), np.full(m, np.inf)
+    settled = np.zeros(m, bool)
+    for k in range(DEPTH, least - 1, -1):
+        now = (length == k if k > least else length <= k) & ~(settled[x] & settled[y])
+        i, j = x[now], y[now]
+        both = common(i, j)
+        similarity = both / (sizes[i] + sizes[j] - both)
+        good = both >= threshold * (sizes[i] + sizes[j] - both)
+        i, j, similarity = i[good], j[good], similarity[good]
+        linked[i, j] = True
+        np.minimum.at(lowest, i, similarity)
+        np.minimum.at(lowest, j, similarity)
+        settled = np.isfinite(lowest) & (recall_at(np.minimum(lowest, 1.0), k) >= RECALL)
+    return linked
+
+
+def _unit_links(keys, prefixes, signs, shingles, tree: int, own, threshold: float, least: int) -> list[tuple[str, str, int]]:
     """(key, least key of its component in this unit, number of links here) of the nodes with links."""
     import numpy as np
 
-    ok = _verified(prefixes, shingles, tree, own, threshold)
+    ok = _verified(prefixes, signs, shingles, tree, own, threshold, least)
     ok |= ok.T
     degree = ok.sum(axis=1)
     at = np.argsort(np.array(keys))
@@ -130,7 +176,8 @@ def _unit_links(keys, prefixes, shingles, tree: int, own, threshold: float) -> l
 
 def links(docs: DataFrame, n: int = WORDS_PER_SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """key, to, n: a text of the same class (itself for the least of a unit) and a number of verified links; a key's n add up to its links."""
-    signatures = cut(_signatures(docs, n, least_prefix(threshold)).dropDuplicates(["key"]))
+    least = least_prefix(threshold)
+    signatures = cut(_signatures(docs, n, least).dropDuplicates(["key"]))
     trie = signatures.select("key", F.posexplode("prefixes").alias("tree", "p"))
     prints = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"h{i}") for i in range(2)]
     buckets = trie.groupBy("tree", "p").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), *prints).where("n > 1")
@@ -151,13 +198,14 @@ def links(docs: DataFrame, n: int = WORDS_PER_SHINGLE, threshold: float = THRESH
         import numpy as np
         import pandas as pd
 
-        rows = (r for b in batches for r in zip(b["tree"], b["p"], b["i"], b["j"], b["own"], b["key"], b["prefixes"], b["shingles"]))
+        rows = (r for b in batches for r in zip(b["tree"], b["p"], b["i"], b["j"], b["own"], b["key"], b["prefixes"], b["signs"], b["shingles"]))
         out = []
         for (tree, _, i, j), group in itertools.groupby(rows, key=lambda r: r[:4]):
-            own, keys, prefixes, sets = zip(*(r[4:] for r in group))
+            own, keys, prefixes, signs, sets = zip(*(r[4:] for r in group))
             if len(keys) > 1:
                 own = None if i == j else np.array(own)
-                out += _unit_links(keys, np.stack(prefixes), [np.frombuffer(x, np.uint64) for x in sets], tree, own, threshold)
+                signs = np.stack([np.frombuffer(x, np.uint16).reshape(TREES, DEPTH) for x in signs])
+                out += _unit_links(keys, np.stack(prefixes), signs, [np.frombuffer(x, np.uint64) for x in sets], tree, own, threshold, least)
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=["key", "to", "n"])
                 out = []
@@ -175,10 +223,10 @@ def join_classes(docs: DataFrame, n: int = WORDS_PER_SHINGLE, threshold: float =
     wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"(?U)\w")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), wordless.alias("wordless"))
     keys = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).join(nodes, "key", "left")
-    keys = keys.withColumn("root", F.coalesce("root", "key"))
+    keys = cut(keys.withColumn("root", F.coalesce("root", "key")))
     classes = keys.groupBy("root").agg(F.min("first").alias("class_id"))
     keys = keys.join(classes, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies")
-    return rows.join(keys, "key").select(
+    return join_hot(rows, keys, "key").select(
         "doc_id", F.when(F.col("wordless"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("n_links").cast("long"), F.col("copies").cast("long")
     )
 
@@ -187,11 +235,12 @@ def keep_one(docs: DataFrame, n: int = WORDS_PER_SHINGLE, threshold: float = THR
     """docs with one row of each class: of least doc_id (nulls last), then of least text key; ids may be null or repeat. Wordless rows all stay."""
     found = links(docs, n, threshold)
     roots = components(found.where("key <> to").select(F.col("key").alias("a"), F.col("to").alias("b")))
-    marked = docs.withColumns({"_key": text_key(), "_wordless": ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"(?U)\w")})
-    worded = marked.where("not _wordless")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_key").alias("key"))
-    first = worded.groupBy("_key").agg(F.min(order).alias("first"))
-    first = first.join(roots, F.col("_key") == F.col("node"), "left").groupBy(F.coalesce("root", "_key").alias("root")).agg(F.min("first").alias("first"))
-    kept = first.select(F.col("first.key").alias("_kept"), F.col("first.doc_id").alias("_id"))
-    one = worded.join(kept, (F.col("_key") == F.col("_kept")) & worded["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return one.dropDuplicates(["_key"]).union(marked.where("_wordless")).drop("_key", "_wordless")
+    key, wordless, kept, own = (fresh(docs, c) for c in ("key", "wordless", "kept", "own"))
+    marked = docs.withColumns({key: text_key(), wordless: ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"(?U)\w")})
+    worded = marked.where(~F.col(wordless))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))
+    first = worded.groupBy(F.col(key).alias("key")).agg(F.min(order).alias("first"))
+    first = first.join(roots, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
+    survivors = first.select(F.col("first.key").alias(kept), F.col("first.doc_id").alias(own))
+    one = worded.join(survivors, (F.col(key) == F.col(kept)) & worded["doc_id"].eqNullSafe(F.col(own)), "left_semi")
+    return one.dropDuplicates([key]).union(marked.where(F.col(wordless))).drop(key, wordless)
