@@ -62,3 +62,19 @@ def shingle_set(hashes: WordHashes, text: str | None, n: int = 5) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     return np.unique(runs(hashes.of(words), min(n, len(words))))
+
+
+def least_at(x: np.ndarray, n: int) -> np.ndarray:
+    """Place of the minimum of each n neighbours, the leftmost of equal ones, by doubling."""
+    if len(x) < n:
+        return np.empty(0, np.int64)
+    at, step = np.arange(len(x)), 1
+
+    def lower(left, right):
+        return np.where(x[right] < x[left], right, left)
+
+    while step * 2 <= n:
+        at = lower(at[: len(at) - step], at[step:])
+        step *= 2
+    keep = len(x) - n + 1
+    return lower(at[:keep], at[n - step : n - step + keep])
