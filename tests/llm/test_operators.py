@@ -200,8 +200,8 @@ def test_repeats_inside_one_text_and_shards(spark, monkeypatch):
 
 def test_automaton_finds_overlapping_phrases():
     words = [b"a"] * 9 + [b"b"]
-    automaton, numbers = repeats.compile_automaton({tuple(words[:8]), tuple(words[2:])})
-    found = {end - 7 for end, _ in automaton.iter(tuple([numbers.get(w, 0) for w in words + [b"z"]]))}
+    automaton, codes = repeats.compile_automaton({tuple(words[:8]), tuple(words[2:])})
+    found = {(end + 1) // repeats.DIGITS - 8 for end, _ in automaton.iter(codes.of(words + [b"z"]))}
     assert [i in found for i in range(4)] == [True, True, True, False]
 
 
