@@ -64,21 +64,57 @@ def fpr_threshold(rows: DataFrame, fpr: float) -> DataFrame:
     return s.join(F.broadcast(total)).where((below <= at) & (at < below + F.col("n"))).select((F.col("score") + 1e-9).alias("threshold"))
 
 
-def f_threshold(rows: DataFrame, beta: float = 0.5, low: int = 5, high: int = 95) -> DataFrame:
-    """Best F-beta over thresholds low% .. high%; the least threshold of equal ones. Rows are summed by percent first."""
-    cells = rows.groupBy(F.floor(F.col("score") * 100).alias("pct")).agg(
-        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
-    )
-    grid = rows.sparkSession.range(low, high + 1).withColumnRenamed("id", "t")
+def f_threshold(rows: DataFrame, beta: float = 0.5, low: float = 0.05, high: float = 0.95, steps: int = 91) -> DataFrame:
+    """Best F-beta over evenly spaced thresholds, the least of equal ones. Rows are summed by the number of thresholds they reach first.
+
+    A threshold is i * step + low in doubles, and a score reaches it if it is no less than that double.
+    """
+    step = (high - low) / (steps - 1)
+
+    def at(i: Column) -> Column:
+        return F.when(i >= steps - 1, F.lit(high)).otherwise(i * F.lit(step) + F.lit(low))
+
+    near = F.floor((F.col("score") - low) / step)
+    # The quotient may be off by one step; the doubles themselves decide.
+    reached = F.aggregate(F.array(*[F.lit(k) for k in (-1, 0, 1)]), F.greatest(near - 1, F.lit(0)).cast("long"), lambda n, k: F.when((near + k >= 0) & (near + k < steps) & (F.col("score") >= at(near + k)), (near + k + 1).cast("long")).otherwise(n))
+    cells = rows.withColumn("reached", F.least(reached, F.lit(steps))).groupBy("reached").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    grid = rows.sparkSession.range(steps).withColumnRenamed("id", "i")
     total = cells.agg(F.sum("p").alias("all_p"))
-    tp, fp = F.sum(F.when(F.col("pct") >= F.col("t"), F.col("p")).otherwise(0)), F.sum(F.when(F.col("pct") >= F.col("t"), F.col("n")).otherwise(0))
+    passed = F.col("reached") > F.col("i")
+    tp, fp = F.sum(F.when(passed, F.col("p")).otherwise(0)), F.sum(F.when(passed, F.col("n")).otherwise(0))
     b = beta * beta
-    each = grid.join(F.broadcast(cells)).groupBy("t").agg(tp.alias("tp"), fp.alias("fp")).join(F.broadcast(total))
+    each = grid.join(F.broadcast(cells)).groupBy("i").agg(tp.alias("tp"), fp.alias("fp")).join(F.broadcast(total))
     f = ratio((1 + b) * F.col("tp"), (1 + b) * F.col("tp") + b * (F.col("all_p") - F.col("tp")) + F.col("fp"))
-    return each.select("t", F.round(f, 9).alias("f")).orderBy(F.desc("f"), "t").limit(1).select((F.col("t") / 100).alias("threshold"), "f")
+    return each.select("i", F.round(f, 9).alias("f")).orderBy(F.desc("f"), "i").limit(1).select(at(F.col("i")).alias("threshold"), "f")
 
 
 def reliability(rows: DataFrame, edges: tuple[float, ...] = (0.05, 0.2, 0.5, 0.8, 0.95)) -> DataFrame:
     """bin, n, observed over uneven bins of the score."""
     bin_ = sum(((F.col("score") >= e).cast("int") for e in edges), F.lit(0))
     return rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("label").alias("observed"))
+
+
+def sliced_confusion(rows: DataFrame, slices: dict[str, Column], predicted: Column, label: Column) -> DataFrame:
+    """slice and its confusion; slices may overlap, so a row is counted once for each that it belongs to."""
+    names = F.filter(F.array(*[F.when(inside, name) for name, inside in slices.items()]), lambda s: s.isNotNull())
+    return confusion(rows.withColumns({"_hit": predicted, "_label": label}).withColumn("slice", F.explode(names)), ["slice"], F.col("_hit"), F.col("_label"))
+
+
+def policy_table(rows: DataFrame, rules: dict[str, Column], period: str, balanced: bool = False) -> DataFrame:
+    """policy, accuracy, precision, recall, fpr over all periods; balanced weighs benign rows so that each period is an even mix.
+
+    Rows are summed by period and policy first, so the weights meet counts only.
+    """
+    said = F.explode(F.array(*[F.struct(F.lit(name).alias("policy"), F.coalesce(rule, F.lit(False)).alias("hit")) for name, rule in rules.items()]))
+    each = rows.select(period, "label", said.alias("s")).groupBy(period, "s.policy").agg(
+        F.count_if(F.col("s.hit") & (F.col("label") == 1)).alias("tp"), F.count_if(~F.col("s.hit") & (F.col("label") == 1)).alias("fn"),
+        F.count_if(F.col("s.hit") & (F.col("label") == 0)).alias("fp"), F.count_if(~F.col("s.hit") & (F.col("label") == 0)).alias("tn"),
+    )
+    w = (F.col("tp") + F.col("fn")) / F.greatest(F.col("fp") + F.col("tn"), F.lit(1)) if balanced else F.lit(1.0)
+    sums = each.groupBy("policy").agg(F.sum("tp").alias("tp"), F.sum("fn").alias("fn"), F.sum(F.col("fp") * w).alias("fp"), F.sum(F.col("tn") * w).alias("tn"))
+    tp, fp, tn, fn = map(F.col, ("tp", "fp", "tn", "fn"))
+    least = F.lit(1e-9)
+    return sums.select(
+        "policy", ((tp + tn) / (tp + fp + tn + fn)).alias("accuracy"), (tp / F.greatest(tp + fp, least)).alias("precision"),
+        (tp / F.greatest(tp + fn, least)).alias("recall"), (fp / F.greatest(fp + tn, least)).alias("fpr"),
+    )

@@ -18,6 +18,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def unit(v: Column) -> Column:
+    """The vector at length 1; a zero vector stays."""
+    size = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+
+
 def scored_pairs(index: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, vec_id, label, score of every query against every other vector."""
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
@@ -32,8 +35,8 @@ def merge_families(rows: DataFrame, name: str, fingerprint: str) -> DataFrame:
 
 
 def split_future(rows: DataFrame, group: str, date: str, cutoff: str, label: str = "label") -> DataFrame:
-    """Malicious rows of the cutoff or later whose group has no other row."""
-    late = (F.col(label) == 1) & (F.col(date) >= cutoff)
+    """Malicious rows of the cutoff or later whose group has no other row. A null or empty date is not late."""
+    late = F.coalesce((F.col(label) == 1) & (F.col(date) != "") & (F.col(date) >= cutoff), F.lit(False))
     older = rows.where(~late).select(group).distinct()
     return rows.where(late).join(older, group, "left_anti")
 
@@ -61,3 +64,25 @@ def rolling_unseen(rows: DataFrame, group: str, period: str) -> DataFrame:
     per = rows.groupBy(period).agg(F.count("*").alias("n"))
     prior = per.select(period, F.coalesce(F.sum("n").over(W.orderBy(period).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("prior_rows"))
     return prior.join(test, period, "left").na.fill(0, ["test_rows", "test_groups"])
+
+
+def first_releases(rows: DataFrame, covered: DataFrame, name: Column, order: Column) -> DataFrame:
+    """One row a normalised name, the least in order, of names that another source does not cover; name is added as ``name``."""
+    known = covered.select("name").where("name is not null").distinct()
+    first = F.row_number().over(W.partitionBy("name").orderBy(order))
+    return rows.withColumn("name", name).join(known, "name", "left_anti").withColumn("_place", first).where("_place = 1").drop("_place")
+
+
+def running_total(rows: DataFrame, group: str, order: str, size: str, cells: int = 1024) -> DataFrame:
+    """rows with ``used``: the size of the group's rows before each, by an integer order.
+
+    Sums run over ranges of the order first and inside a range second, so that no task holds a whole group.
+    """
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = max(1, ((high or 0) - (low or 0)) // cells + 1)
+    dealt = rows.withColumn("_cell", F.floor((F.col(order) - F.lit(low or 0)) / width))
+    before = W.partitionBy(group).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    sums = dealt.groupBy(group, "_cell").agg(F.sum(size).alias("_size")).withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    inside = W.partitionBy(group, "_cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    used = F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0))
+    return dealt.join(sums, [group, "_cell"]).withColumn("used", used).drop("_cell", "_base")

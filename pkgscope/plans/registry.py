@@ -31,9 +31,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-IPS = r"list_filter(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}'), lambda x: NOT (starts_with(x,'127.') OR starts_with(x,'0.') OR starts_with(x,'10.') OR starts_with(x,'192.168.') OR starts_with(x,'255.')))"
+IPS = r"list_filter(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b'), lambda x: NOT (starts_with(x,'127.') OR starts_with(x,'0.') OR starts_with(x,'10.') OR starts_with(x,'192.168.') OR starts_with(x,'255.')))"
 SIGNALS = f"""SELECT doc_id, CAST(len({IPS}) AS BIGINT) AS n_ips,
- CAST(len(regexp_extract_all(text, '[0-9a-f]{{40,}}')) AS BIGINT) AS n_hex,
+ CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '^[0-9a-fA-F]{{40,}}$'))) AS BIGINT) AS n_hex,
+ CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '^[A-Za-z0-9+/=_-]{{60,}}$'))) AS BIGINT) AS n_base64,
  CAST(list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS BIGINT) AS longest_line,
  CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 500)) AS BIGINT) AS long_lines,
  round((length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))) / greatest(length(text), 1), 6) AS non_ascii
@@ -43,7 +44,7 @@ SIGNALS = f"""SELECT doc_id, CAST(len({IPS}) AS BIGINT) AS n_ips,
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, lines = F.col("text"), T.line_lengths(F.col("text"))
     return load(spark, sf_dir, "documents").select(
-        "doc_id", F.size(T.public_ips(text)).cast("long").alias("n_ips"), F.regexp_count(text, F.lit("[0-9a-f]{40,}")).cast("long").alias("n_hex"),
+        "doc_id", F.size(T.public_ips(text)).cast("long").alias("n_ips"), T.literals(text, T.HEXISH).alias("n_hex"), T.literals(text, T.B64ISH).alias("n_base64"),
         F.array_max(lines).cast("long").alias("longest_line"), F.size(F.filter(lines, lambda n: n > T.PACKED_LINE)).cast("long").alias("long_lines"),
         F.round(T.non_ascii_share(text), 6).alias("non_ascii"),
     )
@@ -76,9 +77,12 @@ def link_texts(spark, sf_dir):
     return links.groupBy("link").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT page_id, CAST(len(regexp_extract_all(url, 'https?://')) + len(regexp_extract_all(html, 'https?://')) AS BIGINT) AS n_urls FROM pages""")
+URL_SQL = r"""regexp_extract_all({0}, 'https?://[^\s"''<>)\]]+')"""
+
+
+@query(f"SELECT page_id, CAST(len({URL_SQL.format('url')}) + len({URL_SQL.format('html')}) AS BIGINT) AS n_urls FROM pages")
 def url_counts(spark, sf_dir):
-    count = lambda c: F.regexp_count(c, F.lit("https?://"))
+    count = lambda c: F.regexp_count(c, F.lit(T.URL))
     return load(spark, sf_dir, "pages").select("page_id", (count("url") + count("html")).cast("long").alias("n_urls"))
 
 
@@ -86,19 +90,15 @@ def url_counts(spark, sf_dir):
 t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id)
 SELECT doc_id, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM c JOIN t USING (doc_id) GROUP BY doc_id""")
 def text_entropy(spark, sf_dir):
-    chars = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("ch"))
-    counts = chars.groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
-    # log2 total - sum(n log2 n) / total needs one pass over the counts.
-    each = counts.groupBy("doc_id").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("weighed"))
-    return each.select("doc_id", F.round(F.log2("total") - F.col("weighed") / F.col("total"), 6).alias("entropy"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("entropy"))
 
 
-SCORED = "(SELECT least(greatest(value / 1000.0, 0), 1) AS score, CAST(event_type = 'error' AS INTEGER) AS label, user_id, strftime(ts, '%Y-%m-%d') AS day FROM events)"
+SCORED = "(SELECT least(greatest(value / 1000.0::DOUBLE, 0), 1) AS score, CAST(event_type = 'error' AS INTEGER) AS label, user_id, strftime(ts, '%Y-%m-%d') AS day FROM events)"
 
 
-def scored(spark, sf_dir):
+def scored(spark, sf_dir, scale=1000):
     return load(spark, sf_dir, "events").select(
-        F.least(F.greatest(F.col("value") / 1000, F.lit(0.0)), F.lit(1.0)).alias("score"), (F.col("event_type") == "error").cast("int").alias("label"),
+        F.least(F.greatest(F.col("value") / scale, F.lit(0.0)), F.lit(1.0)).alias("score"), (F.col("event_type") == "error").cast("int").alias("label"),
         "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"),
     )
 
@@ -123,9 +123,14 @@ def reliability_table(spark, sf_dir):
     return metrics.reliability(scored(spark, sf_dir)).withColumn("observed", F.round("observed", 6))
 
 
-@query(f"""WITH c AS (SELECT floor(score * 100) AS pct, label FROM {SCORED}), g AS (SELECT unnest(range(5, 96)) AS t),
-m AS (SELECT t, count(*) FILTER (label = 1 AND pct >= t) AS tp, count(*) FILTER (label = 0 AND pct >= t) AS fp, count(*) FILTER (label = 1) AS p FROM g, c GROUP BY t)
-SELECT t / 100 AS threshold, round(1.25 * tp / nullif(1.25 * tp + 0.25 * (p - tp) + fp, 0), 9) AS f FROM m ORDER BY f DESC, t LIMIT 1""")
+GRID = "CASE WHEN i = 90 THEN 0.95::DOUBLE ELSE i::DOUBLE * ((0.95::DOUBLE - 0.05::DOUBLE) / 90::DOUBLE) + 0.05::DOUBLE END"
+
+
+@query(f"""WITH g AS (SELECT i, {GRID} AS t FROM range(91) r(i)),
+m AS (SELECT i, t, count(*) FILTER (label = 1 AND score >= t) AS tp, count(*) FILTER (label = 0 AND score >= t) AS fp,
+ count(*) FILTER (label = 1) AS p FROM g, {SCORED} GROUP BY i, t)
+SELECT t AS threshold, round(coalesce(1.25 * tp / nullif(1.25 * tp + 0.25 * (p - tp) + fp, 0), 0), 9) AS f
+FROM m ORDER BY f DESC, i LIMIT 1""")
 def best_threshold(spark, sf_dir):
     return metrics.f_threshold(scored(spark, sf_dir))
 
@@ -138,10 +143,19 @@ def rolling_unseen(spark, sf_dir):
     return splits.rolling_unseen(scored(spark, sf_dir), "user_id", "day")
 
 
-@query(f"""WITH late AS (SELECT * FROM {SCORED} WHERE label = 1 AND day >= '2024-01-28'), older AS (SELECT DISTINCT user_id FROM {SCORED} WHERE NOT (label = 1 AND day >= '2024-01-28'))
-SELECT user_id, count(*) AS n FROM late WHERE user_id NOT IN (SELECT user_id FROM older) GROUP BY user_id""")
+@query("""WITH r AS (SELECT *, CAST(event_type = 'error' AS INTEGER) AS label, user_id || '/' || strftime(ts, '%Y-%m-%d') AS grp,
+ CASE WHEN event_id % 20 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS reported FROM events),
+older AS (SELECT DISTINCT grp FROM r WHERE NOT (label = 1 AND reported <> '' AND reported >= '2024-01-15'))
+SELECT grp, count(*) AS n FROM r
+WHERE label = 1 AND reported <> '' AND reported >= '2024-01-15' AND grp NOT IN (SELECT grp FROM older) GROUP BY grp""")
 def split_future(spark, sf_dir):
-    return splits.split_future(scored(spark, sf_dir), "user_id", "day", "2024-01-28").groupBy("user_id").agg(F.count("*").alias("n"))
+    """Errors from a day on, in families (a user's events of a day) without any other row; every twentieth row has no date."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    rows = load(spark, sf_dir, "events").select(
+        (F.col("event_type") == "error").cast("int").alias("label"), F.concat_ws("/", "user_id", day).alias("grp"),
+        F.when(F.col("event_id") % 20 == 0, "").otherwise(day).alias("reported"),
+    )
+    return splits.split_future(rows, "grp", "reported", "2024-01-15").groupBy("grp").agg(F.count("*").alias("n"))
 
 
 @query("""WITH g AS (SELECT source, count(*) AS n, CAST(round_even(avg(1 - quality), 0) AS INTEGER) AS major, md5(source) AS h FROM documents JOIN labels USING (doc_id) GROUP BY source),
@@ -171,9 +185,8 @@ def pool_files(spark, sf_dir):
 @query("""SELECT doc_id FROM (SELECT doc_id, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM documents) WHERE used < 20000""")
 def text_budget(spark, sf_dir):
     # Sizes alone are shuffled; the texts stay where they are.
-    before = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
     files = load(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("size"))
-    return files.withColumn("used", F.coalesce(F.sum("size").over(before), F.lit(0))).where("used < 20000").select("doc_id")
+    return splits.running_total(files, "source", "doc_id", "size").where("used < 20000").select("doc_id")
 
 
 @query("""SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 8""")
@@ -222,18 +235,6 @@ def mean_vectors(spark, sf_dir):
     return parts.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(trim(text), '^[A-Za-z0-9][A-Za-z0-9._-]*(==[A-Za-z0-9.]+)?$') THEN 'analyze' ELSE 'question' END AS route FROM conversations""")
-def route_turns(spark, sf_dir):
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.route(F.col("text")).alias("route"))
-
-
-@query(f"""SELECT tier, label, count(*) AS n FROM (SELECT label, CASE WHEN score >= 0.6 OR (score >= 0.3 AND user_id % 2 = 0) THEN 'malicious' WHEN score >= 0.3 THEN 'suspicious' ELSE 'clean' END AS tier FROM {SCORED}) GROUP BY ALL""")
-def tier_counts(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    tier = T.tier(F.col("score"), F.lit(None).cast("double"), F.col("user_id") % 2 == 0, 0.3, 0.6, 0.9)
-    return rows.groupBy(tier.alias("tier"), "label").agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH m AS (SELECT median(score) AS mid FROM {SCORED}) SELECT label, round(avg(CAST(score <= mid AS INTEGER)), 6) AS share_le, round(avg(CAST(score >= mid AS INTEGER)), 6) AS share_ge FROM {SCORED}, m GROUP BY label""")
 def tail_share(spark, sf_dir):
     rows = scored(spark, sf_dir)
@@ -241,11 +242,11 @@ def tail_share(spark, sf_dir):
     return rows.join(mid).groupBy("label").agg(F.round(F.avg((F.col("score") <= F.col("mid")).cast("int")), 6).alias("share_le"), F.round(F.avg((F.col("score") >= F.col("mid")).cast("int")), 6).alias("share_ge"))
 
 
-PAIRS = "(SELECT q.vec_id AS query_id, v.vec_id, v.label, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)"
+PAIRS = "(SELECT q.vec_id AS query_id, v.vec_id, v.label, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)"
 
 
 def pairs(spark, sf_dir):
-    index = load(spark, sf_dir, "embeddings")
+    index = load(spark, sf_dir, "embeddings").withColumn("embedding", similarity.unit(F.col("embedding")))
     return similarity.scored_pairs(index, index.where(F.col("vec_id") % 50 == 0))
 
 
