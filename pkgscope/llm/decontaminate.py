@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import fresh, text_key
 
 N_WORDS = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -80,14 +80,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n_words: int = N_W
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS) -> DataFrame:
-    """The columns of docs plus n_words, n_hit, item_ids (sorted as strings), contaminated."""
+    """The columns of docs plus n_words, n_hit, item_ids (sorted as strings), contaminated; input columns of these names give way."""
     found = find_contamination(docs, benchmark, n_words).select(
         "key",
         F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1))))).alias("n_hit"),
         F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))).alias("item_ids"),
     )
-    clash = [c for c in ("n_words", "n_hit", "item_ids", "contaminated", "key") if c in docs.columns]
-    out = docs.drop(*clash).withColumn("key", text_key()).withColumn("n_words", F.size(words()).cast("long")).join(found, "key", "left")
+    key = fresh(docs, "key")
+    out = docs.drop("n_words", "n_hit", "item_ids", "contaminated").withColumn(key, text_key()).withColumn("n_words", F.size(words()).cast("long"))
+    out = out.join(found.withColumnRenamed("key", key), key, "left")
     return out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn(
         "item_ids", F.coalesce("item_ids", F.array().cast("array<string>"))
-    ).withColumn("contaminated", F.col("n_hit") > 0).drop("key")
+    ).withColumn("contaminated", F.col("n_hit") > 0).drop(key)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS) -> DataFrame:
+    """The rows of docs without any window of the benchmark, columns unchanged."""
+    key = fresh(docs, "key")
+    found = find_contamination(docs.select("text"), benchmark, n_words).select(F.col("key").alias(key))
+    return docs.withColumn(key, text_key()).join(found, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -5,7 +5,8 @@ inner products with the Cauchy-Schwarz bound of both rounding errors; candidates
 reaches the tile's k-th lower bound are recomputed in double precision, and a tile's best k go to the
 merge. Nearest is the largest inner product, ties to the smaller vec_id. A null id or vector, a zero
 one and one holding null or non-finite components take no part; vectors meet those of their own
-dimension only; the query's own row (by vec_id) is left out; repeated rows are kept.
+dimension only; rows of the query's own vec_id are left
+out; repeated candidates are kept, a repeated query is asked once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ QUERY_BLOCK = 512
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return v.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
 def _blocks(v: DataFrame, size: int, rows: int, prefix: str) -> DataFrame:
-    """One row per block: dim, block number, ids and float32 vectors as bytes. Blocks hold about size rows."""
+    """One row per block: dim, block number, ids and double vectors as bytes. Blocks hold about size rows."""
     n = max(1, -(-rows // size))
 
     def run(frame):
@@ -35,7 +36,7 @@ def _blocks(v: DataFrame, size: int, rows: int, prefix: str) -> DataFrame:
         ids = frame["vec_id"].to_numpy(dtype="<i8")
         return pd.DataFrame({
             "dim": [frame["dim"].iloc[0]], f"{prefix}block": [frame["block"].iloc[0]], f"{prefix}ids": [ids.tobytes()],
-            f"{prefix}vecs": [np.stack(frame["v"].to_numpy()).astype("<f4").tobytes()],
+            f"{prefix}vecs": [np.stack(frame["v"].to_numpy()).astype("<f8").tobytes()],
         })
 
     placed = v.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)))
@@ -43,15 +44,15 @@ def _blocks(v: DataFrame, size: int, rows: int, prefix: str) -> DataFrame:
 
 
 def quantise(x):
-    """int8 codes (as float32 for the product), scale, norm and rounding-error norm of each row."""
+    """int8 codes (as floats wide enough that their products add up exactly), scale, norm and rounding-error norm of each row."""
     import numpy as np
 
-    x = x.astype(np.float64)
     scale = np.abs(x).max(axis=1) / 127.0
     scale[scale == 0] = np.finfo(float).tiny
     codes = np.rint(x / scale[:, None]).astype(np.int8)
     error = np.linalg.norm(x - codes * scale[:, None], axis=1)
-    return codes.astype(np.float32), scale, np.linalg.norm(x, axis=1), error
+    wide = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    return codes.astype(wide), scale, np.linalg.norm(x, axis=1), error
 
 
 def tile_best(qid, q, cid, c, k: int):
@@ -67,11 +68,10 @@ def tile_best(qid, q, cid, c, k: int):
     take = min(k, low.shape[1])
     floor = np.partition(low, low.shape[1] - take, axis=1)[:, low.shape[1] - take]
     out = []
-    q64, c64 = q.astype(np.float64), c.astype(np.float64)
     for i in range(len(qid)):
         at = np.flatnonzero((near[i] + slack[i] >= floor[i]) & ~own[i])
         # Summed from the first component to the last, so that a score does not depend on the block it was found in.
-        score = np.cumsum(c64[at] * q64[i], axis=1)[:, -1]
+        score = np.cumsum(c[at] * q[i], axis=1)[:, -1]
         best = at[np.lexsort((cid[at], -score))[:k]] if len(at) else at
         scores = dict(zip(at.tolist(), score.tolist()))
         out += [(int(qid[i]), int(cid[j]), scores[int(j)]) for j in best]
@@ -81,7 +81,7 @@ def tile_best(qid, q, cid, c, k: int):
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score for the queries whose vec_id is divisible by ``every``."""
     valid = _valid(vectors)
-    queries = valid.where(F.col("vec_id") % every == 0)
+    queries = valid.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
     n, nq = valid.count(), queries.count()
     cands = _blocks(valid, BLOCK, n, "c")
     nb = max(1, -(-nq // QUERY_BLOCK))
@@ -95,8 +95,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
         for batch in batches:
             for row in batch.itertuples():
-                q = np.frombuffer(row.qvecs, "<f4").reshape(-1, row.dim)
-                c = np.frombuffer(row.cvecs, "<f4").reshape(-1, row.dim)
+                q = np.frombuffer(row.qvecs, "<f8").reshape(-1, row.dim)
+                c = np.frombuffer(row.cvecs, "<f8").reshape(-1, row.dim)
                 yield pd.DataFrame(tile_best(np.frombuffer(row.qids, "<i8"), q, np.frombuffer(row.cids, "<i8"), c, k), columns=["query_id", "vec_id", "score"])
 
     found = tiles.select("dim", "qids", "qvecs", "cids", "cvecs").mapInPandas(run, "query_id long, vec_id long, score double")

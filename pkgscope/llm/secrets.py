@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 MIN_TOKEN, MIN_VALUE, MIN_WORD = 20, 16, 8
-THRESHOLD = 1.5
-SMOOTH = 0.5
+THRESHOLD = 1.2
 # The base patterns and the order of kinds.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -80,11 +79,18 @@ def ratios(random, ordinary) -> list[list[float]] | None:
 
     if not random.sum() or not ordinary.sum():
         return None
-    logs = []
-    for counts in (random, ordinary):
-        c = counts.reshape(len(CHARS), len(CHARS)) + SMOOTH
-        logs.append(np.log(c / c.sum(axis=1, keepdims=True)))
-    return (logs[0] - logs[1]).tolist()
+    n = len(CHARS)
+    r, o = random.reshape(n, n), ordinary.reshape(n, n)
+    # Mixed by fixed shares, so that ratios do not drift with the size of the corpus. The alphabet of
+    # random strings is open, so theirs falls back on equal chances; ordinary text on its own letters.
+    common = 0.9 * o.sum(axis=0) / o.sum() + 0.1 / n
+    return (np.log(_mixed(r, np.full(n, 1 / n), 0.8)) - np.log(_mixed(o, common, 0.9))).tolist()
+
+
+def _mixed(counts, fallback, share: float, seen: float = 20.0):
+    """Chances of each next character: counted ones for a share, the less the fewer counts there are, and the fallback for the rest."""
+    counted = (counts + seen * fallback) / (counts.sum(axis=1, keepdims=True) + seen)
+    return share * counted + (1 - share) * fallback
 
 
 def fit(docs: DataFrame) -> list[list[float]] | None:
