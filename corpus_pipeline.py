@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pkgscope.llm import decontaminate, jaccard, packing, secrets, toxicity
-from pkgscope.llm.common import load
+from pkgscope.llm.common import load, shared_folder
 from pkgscope.llm.queries import vocabulary
 
 ORACLE_SQL = None
@@ -28,8 +28,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"))
-    return marked.where("not contaminated").select(*docs.columns)
+    return decontaminate.keep_clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +50,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; each stage is written to the shared checkpoint folder and read again."""
-    from pkgscope.llm.common import cut
-
-    cut(spark.range(0))  # sets a checkpoint folder where none is set
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
