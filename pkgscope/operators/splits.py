@@ -73,8 +73,8 @@ def first_releases(rows: DataFrame, covered: DataFrame, name: Column, order: Col
     return rows.withColumn("name", name).join(known, "name", "left_anti").withColumn("_place", first).where("_place = 1").drop("_place")
 
 
-def running_total(rows: DataFrame, group: str, order: str, size: str, cells: int = 1024) -> DataFrame:
-    """rows with ``used``: the size of the group's rows before each, by an integer order.
+def running_totals(rows: DataFrame, group: str, order: str, sizes: list[str], cells: int = 1024) -> DataFrame:
+    """rows with used_<size> for each of sizes: the sum over the group's rows before each, by an integer order.
 
     Sums run over ranges of the order first and inside a range second, so that no task holds a whole group.
     """
@@ -82,7 +82,13 @@ def running_total(rows: DataFrame, group: str, order: str, size: str, cells: int
     width = max(1, ((high or 0) - (low or 0)) // cells + 1)
     dealt = rows.withColumn("_cell", F.floor((F.col(order) - F.lit(low or 0)) / width))
     before = W.partitionBy(group).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    sums = dealt.groupBy(group, "_cell").agg(F.sum(size).alias("_size")).withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    sums = dealt.groupBy(group, "_cell").agg(*[F.sum(s).alias(f"_sum_{s}") for s in sizes])
+    sums = sums.select(group, "_cell", *[F.coalesce(F.sum(f"_sum_{s}").over(before), F.lit(0)).alias(f"_base_{s}") for s in sizes])
     inside = W.partitionBy(group, "_cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    used = F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0))
-    return dealt.join(sums, [group, "_cell"]).withColumn("used", used).drop("_cell", "_base")
+    used = {f"used_{s}": F.col(f"_base_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sizes}
+    return dealt.join(sums, [group, "_cell"]).withColumns(used).drop("_cell", *[f"_base_{s}" for s in sizes])
+
+
+def running_total(rows: DataFrame, group: str, order: str, size: str, cells: int = 1024) -> DataFrame:
+    """rows with ``used``: the size of the group's rows before each, by an integer order."""
+    return running_totals(rows, group, order, [size], cells).withColumnRenamed(f"used_{size}", "used")
