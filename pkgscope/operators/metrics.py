@@ -118,3 +118,47 @@ def policy_table(rows: DataFrame, rules: dict[str, Column], period: str, balance
         "policy", ((tp + tn) / (tp + fp + tn + fn)).alias("accuracy"), (tp / F.greatest(tp + fp, least)).alias("precision"),
         (tp / F.greatest(tp + fn, least)).alias("recall"), (fp / F.greatest(fp + tn, least)).alias("fpr"),
     )
+
+
+def period_thresholds(rows: DataFrame, period: str, rate: float) -> DataFrame:
+    """period, threshold: each period's order statistic of benign scores at a false-positive rate (scores in 0..1).
+
+    Ranges of scores are counted first; only rows of the range that holds the threshold are ranked.
+    """
+    benign = rows.where(F.col("label") == 0).select(period, "score", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin"))
+    counts = benign.groupBy(period, "bin").agg(F.count("*").alias("n"))
+    before = W.partitionBy(period).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(W.partitionBy(period))})
+    at = F.least(F.floor(F.col("total") * (1 - rate)), F.col("total") - 1)
+    holds = counts.withColumn("at", at).where((F.col("base") <= F.col("at")) & (F.col("at") < F.col("base") + F.col("n"))).select(period, "bin", (F.col("at") - F.col("base")).alias("at"))
+    ranked = benign.join(F.broadcast(holds), [period, "bin"]).groupBy(period, "at", "score").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy(period).orderBy("score"))
+    return ranked.withColumn("upto", upto).where("upto > at").groupBy(period).agg((F.min("score") + 1e-9).alias("threshold"))
+
+
+def subgroup_rates(rows: DataFrame, groups: dict[str, Column], thresholds: dict[str, float]) -> DataFrame:
+    """metric, rate: share of each group's scores at or above each threshold, null for an empty group; one pass over the rows."""
+    rates = {f"{g}_{t}": F.avg(F.when(inside, (F.col("score") >= at).cast("int"))) for g, inside in groups.items() for t, at in thresholds.items()}
+    one = rows.agg(*[c.alias(n) for n, c in rates.items()])
+    return one.unpivot([], list(rates), "metric", "rate")
+
+
+def pooled(periods: DataFrame) -> DataFrame:
+    """Confusion counts over all periods with recall, true-negative rate and balanced accuracy, the mean of those defined."""
+    sums = periods.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")])
+    recall = ratio(F.col("tp"), F.col("tp") + F.col("fn"), None)
+    tnr = ratio(F.col("tn"), F.col("tn") + F.col("fp"), None)
+    return sums.withColumns({"recall": recall, "tnr": tnr, "balanced_accuracy": F.coalesce((recall + tnr) / 2, recall, tnr)})
+
+
+def percent(rate: Column) -> Column:
+    """A rate in per cent with one decimal, a dash where it is undefined."""
+    return F.coalesce(F.concat(F.round(rate * 100, 1).cast("decimal(6,1)").cast("string"), F.lit("%")), F.lit("—"))
+
+
+def recency_weight(rows: DataFrame, date: Column, since: str = "2022-01-01") -> DataFrame:
+    """rows with ``weight``: 1, for dated malware up to 2 by the days since a date, over the most of them."""
+    days = F.when((F.col("label") == 1) & (date != ""), F.greatest(F.date_diff(F.to_date(date), F.lit(since).cast("date")), F.lit(0)))
+    rows = rows.withColumn("_days", days)
+    most = rows.agg(F.greatest(F.max("_days"), F.lit(1)).alias("_most"))
+    return rows.join(F.broadcast(most)).withColumn("weight", 1 + F.coalesce(F.col("_days") / F.col("_most"), F.lit(0.0))).drop("_days", "_most")

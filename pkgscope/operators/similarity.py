@@ -42,6 +42,19 @@ def top(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def distinct_families(near: DataFrame, vectors: DataFrame, duplicate: float = 0.99, k: int = 10) -> DataFrame:
+    """Of each query's ranked candidates (query_id, vec_id, score, label, rank) the first k that are no near copies of one chosen before.
+
+    A query's candidates are as many as top() kept, so folding them in order is bounded; vectors are of length 1.
+    """
+    listed = near.join(vectors.select("vec_id", F.col("embedding").alias("_v")), "vec_id")
+    listed = listed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score", "label", "_v"))).alias("c"))
+    copy = lambda chosen, x: F.exists(chosen, lambda y: dot(y["_v"], x["_v"]) >= duplicate)
+    add = lambda chosen, x: F.when((F.size(chosen) >= k) | copy(chosen, x), chosen).otherwise(F.concat(chosen, F.array(x)))
+    chosen = F.aggregate("c", F.slice(F.col("c"), 1, 0), add)
+    return listed.select("query_id", F.explode(chosen).alias("x")).select("query_id", "x.rank", "x.vec_id", "x.score", "x.label")
+
+
 def vote(neighbours: DataFrame, malicious: Column, temperature: float = 0.02) -> DataFrame:
     """query_id, share: softmax-weighted share of malicious neighbours."""
     best = F.max("score").over(W.partitionBy("query_id"))

@@ -41,8 +41,8 @@ def split_future(rows: DataFrame, group: str, date: str, cutoff: str, label: str
     return rows.where(late).join(older, group, "left_anti")
 
 
-def deal_groups(rows: DataFrame, group: str, label: str, test: float = 0.15, validation: float = 0.30) -> DataFrame:
-    """group, split: whole groups dealt by the share of their class's rows before them, in the order of the group's md5.
+def group_shares(rows: DataFrame, group: str, label: str) -> DataFrame:
+    """group, n, share: the share of its class's rows that lie before each group, in the order of the group's md5.
 
     The share is summed in two levels, over the first byte of the md5 and inside it.
     """
@@ -53,8 +53,13 @@ def deal_groups(rows: DataFrame, group: str, label: str, test: float = 0.15, val
     cells = cells.select("major", "cell", F.coalesce(F.sum("cn").over(before), F.lit(0)).alias("base"), F.sum("cn").over(W.partitionBy("major")).alias("total"))
     inside = W.partitionBy("major", "cell").orderBy("h", group).rowsBetween(W.unboundedPreceding, -1)
     share = (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))) / F.col("total")
-    dealt = groups.join(F.broadcast(cells), ["major", "cell"]).withColumn("share", share)
-    return dealt.select(group, "n", F.when(F.col("share") < test, "test").when(F.col("share") < validation, "validation").otherwise("train").alias("split"))
+    return groups.join(F.broadcast(cells), ["major", "cell"]).select(group, "n", share.alias("share"))
+
+
+def deal_groups(rows: DataFrame, group: str, label: str, test: float = 0.15, validation: float = 0.30) -> DataFrame:
+    """group, split: whole groups dealt by the share of their class's rows before them."""
+    split = F.when(F.col("share") < test, "test").when(F.col("share") < validation, "validation").otherwise("train")
+    return group_shares(rows, group, label).select(group, "n", split.alias("split"))
 
 
 def rolling_unseen(rows: DataFrame, group: str, period: str) -> DataFrame:
@@ -92,3 +97,28 @@ def running_totals(rows: DataFrame, group: str, order: str, sizes: list[str], ce
 def running_total(rows: DataFrame, group: str, order: str, size: str, cells: int = 1024) -> DataFrame:
     """rows with ``used``: the size of the group's rows before each, by an integer order."""
     return running_totals(rows, group, order, [size], cells).withColumnRenamed(f"used_{size}", "used")
+
+
+def folds(rows: DataFrame, group: str, label: str, n: int = 5) -> DataFrame:
+    """group, fold: whole groups dealt into n folds by the share of their class's rows before them."""
+    shares = group_shares(rows, group, label)
+    return shares.select(group, "n", F.least(F.floor(F.col("share") * n), F.lit(n - 1)).cast("int").alias("fold"))
+
+
+def rolling_sides(rows: DataFrame, group: str, period: str, label: str = "label") -> DataFrame:
+    """period, side, label, rows and groups of each period's training and test side.
+
+    Test: malware of the period whose group was not seen before. Training: malware before the period without
+    the test groups (a group first seen in the period has no earlier row), so both are sums over first
+    periods and over periods. Benign rows belong to every period and are not counted here.
+    """
+    mal = rows.where(F.col(label) == 1)
+    first = mal.groupBy(group).agg(F.min(period).alias("_first"))
+    test = mal.join(first, group).where(F.col(period) == F.col("_first")).groupBy(period).agg(F.count("*").alias("test_rows"), F.count_distinct(group).alias("test_groups"))
+    per = mal.groupBy(period).agg(F.count("*").alias("n"))
+    new = first.groupBy(F.col("_first").alias(period)).agg(F.count("*").alias("g"))
+    before = W.orderBy(period).rowsBetween(W.unboundedPreceding, -1)
+    prior = per.join(new, period, "left").select(
+        period, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("train_rows"), F.coalesce(F.sum("g").over(before), F.lit(0)).alias("train_groups"),
+    )
+    return prior.join(test, period)
