@@ -44,11 +44,29 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SLICE_BYTES = 1 << 20
+
+
+def text_slices(batch, text: str):
+    """Neighbouring rows of an Arrow batch with about SLICE_BYTES of texts at a time, one row at least."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def map_texts(df: DataFrame, make: Callable, schema: str, text: str = "text") -> DataFrame:
     """df without its text column, plus columns of ``schema`` that are made from the texts alone.
 
     ``make()`` runs once a task and returns a function from a list of texts to a list of columns.
-    The other columns stay Arrow values, so that a null beside an id changes nothing.
+    The other columns stay Arrow values, so that a null beside an id changes nothing. A batch is taken
+    in slices of bounded size, so that a worker holds the Python values of one slice only.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -60,7 +78,7 @@ def map_texts(df: DataFrame, make: Callable, schema: str, text: str = "text") ->
         import pyarrow as pa
 
         of = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, text)):
             columns = [pa.array(x, f.type) for x, f in zip(of(batch.column(text).to_pylist()), fields)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, names=keep + [f.name for f in fields])
 

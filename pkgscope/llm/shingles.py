@@ -20,7 +20,7 @@ class WordHashes(dict):
         return value
 
     def of(self, words: list) -> np.ndarray:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
