@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, neighbours, packing, repeats, secrets, sharding, token_counts, toxicity
+from . import decontaminate, jaccard, langid, mixing, neighbours, packing, repeats, secrets, sharding, token_counts, toxicity
 from .common import held_out, load, trains
 
 VOCABULARY = "word_bpe_49k.json"
@@ -79,6 +79,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_jaccard_join, op3_sharding, op4_toxicity, op5_language_id, op6_secret_scans,
-    op7_decontamination, op8_best_fit_packing, op9_nearest_neighbours, op10_substring_dedup, pipeline,
+    op7_decontamination, op8_best_fit_packing, op9_nearest_neighbours, op10_substring_dedup, op13_source_mix, pipeline,
 )}
 
 ORACLE_SQL = {
@@ -98,4 +102,21 @@ ORACLE_SQL = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 20""",
+    "op13_source_mix": r"""
+        WITH d AS (SELECT row_number() OVER () AS i, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                          md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS draw FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+        w AS (SELECT *, [5, 2, 1][place % 3 + 1] AS weight, 3 * source_size AS cap, CAST(3 * source_size AS DOUBLE) / [5, 2, 1][place % 3 + 1] AS ratio FROM s),
+        l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+                        / CAST(sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM w),
+        f AS (SELECT ratio, place, level FROM l WHERE ratio > level ORDER BY ratio, place LIMIT 1),
+        t AS (SELECT l.source, l.place, l.source_size,
+                     CASE WHEN f.place IS NULL OR (l.ratio, l.place) < (f.ratio, f.place) THEN CAST(cap AS DOUBLE) ELSE weight * f.level END AS target
+              FROM l LEFT JOIN f ON true),
+        r AS (SELECT i, doc_id, size, place, source_size, target, CAST(sum(size) OVER (PARTITION BY place ORDER BY draw, i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        m AS (SELECT i, size, CAST(sum(size) OVER (ORDER BY (pass * source_size + upto) / target, place, upto, pass ROWS UNBOUNDED PRECEDING) AS BIGINT) AS past
+              FROM r, (SELECT unnest([0, 1, 2]) AS pass) WHERE size > 0),
+        k AS (SELECT i, CAST(sum(least(size, (SELECT sum(size) FROM d) - (past - size))) AS BIGINT) AS taken FROM m WHERE past - size < (SELECT sum(size) FROM d) GROUP BY i)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM r LEFT JOIN k USING (i)""",
 }
