@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, neighbours, packing, repeats, secrets, sharding, token_counts, toxicity
+from . import decontaminate, jaccard, langid, mixing, neighbours, packing, repeats, runs, secrets, sharding, token_counts, toxicity
 from .common import held_out, load, trains
 
 VOCABULARY = "word_bpe_49k.json"
@@ -79,6 +79,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find_runs(runs.plant(load(spark, sf_dir, "documents"))))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -91,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_jaccard_join, op3_sharding, op4_toxicity, op5_language_id, op6_secret_scans,
-    op7_decontamination, op8_best_fit_packing, op9_nearest_neighbours, op10_substring_dedup, op13_source_mix, pipeline,
+    op7_decontamination, op8_best_fit_packing, op9_nearest_neighbours, op10_substring_dedup, op11_periodic_runs, op13_source_mix, pipeline,
 )}
 
 ORACLE_SQL = {
