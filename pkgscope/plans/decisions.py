@@ -44,8 +44,7 @@ def candidates(spark, sf_dir):
     return scored(spark, sf_dir, SCALE).withColumns({"share": share, "capable": F.col("user_id") % 2 == 0})
 
 
-def tiers(spark, sf_dir, cal):
-    rows = candidates(spark, sf_dir)
+def tiers(rows, cal):
     rows = rows.select("label", *[c.alias(n) for n, c in decision.assess(F.col("score"), F.col("share"), F.col("capable"), cal).items()])
     return rows.groupBy("tier", "label").agg(
         F.count("*").alias("n"), F.count_if("classifier_flags").alias("classifier_flags"), F.count_if("similarity_flags").alias("similarity_flags"),
@@ -56,12 +55,12 @@ def tiers(spark, sf_dir, cal):
 @query(decided("capable"))
 def tier_counts(spark, sf_dir):
     """Decisions under the soft capability gate."""
-    return tiers(spark, sf_dir, CAL | {"capability_gate": True})
+    return tiers(candidates(spark, sf_dir), CAL | {"capability_gate": True})
 
 
 @query(decided("share IS NULL OR share >= 0.6"))
 def tier_counts_without_gate(spark, sf_dir):
-    return tiers(spark, sf_dir, CAL)
+    return tiers(candidates(spark, sf_dir), CAL)
 
 
 POLICY_SQL = {
