@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import decision
-from ..operators import logistic, metrics
+from ..operators import boosting, logistic, metrics
 from .decisions import CAL, LOGIT, ROWS, tiers
 from .registry import load, query
 
@@ -97,3 +97,77 @@ def embedding_head(spark, sf_dir):
     head = logistic.fit(train.withColumn("x", logistic.scaled("embedding", scale)), "x", "y", balanced=True)
     tested = rows.where("vec_id % 5 = 0").withColumn("x", logistic.scaled("embedding", scale))
     return tested.select("vec_id", "y", F.round(logistic.vector_chance("x", head["coef"], head["intercept"]), 6).alias("chance"))
+
+
+# Columns of a labelled document, the same in both engines, and their edges.
+COLUMNS = {
+    "chars": ("length(text)", "length(text)"),
+    "breaks": ("length(text) - length(replace(text, chr(10), ''))", r"regexp_count(text, '\n')"),
+    "digits": ("length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))", "regexp_count(text, '[0-9]')"),
+    "capitals": ("length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))", "regexp_count(text, '[A-Z]')"),
+    "stops": ("length(text) - length(replace(text, '.', ''))", "regexp_count(text, '[.]')"),
+}
+EDGES = {"chars": [float(100 * 2**i) for i in range(8)], "breaks": [0.0, 1.0, 4.0, 16.0, 64.0], "digits": [0.0, 2.0, 8.0, 32.0], "capitals": [0.0, 4.0, 8.0, 16.0, 32.0, 64.0], "stops": [0.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0]}
+STUMPS, RATE = 4, 0.3
+
+
+def labelled(spark, sf_dir):
+    rows = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id").where("text is not null")
+    return rows.select("doc_id", "quality", F.crc32(F.col("text").cast("binary")).alias("family"), *[F.expr(c).cast("double").alias(n) for n, (_, c) in COLUMNS.items()])
+
+
+def stumps(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    return rows, boosting.train(rows, EDGES, "quality", rounds=STUMPS, depth=1, rate=RATE)
+
+
+def stump_sql() -> str:
+    """CTEs of the same boosting with trees of one split: s0 .. are the splits, m0 .. the margins before each tree."""
+    bins = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS c, '{name}' AS name, {EDGES[name]}::DOUBLE[] AS edges, CAST(list_sum(list_transform({EDGES[name]}::DOUBLE[], lambda e: CAST({x} > e AS INTEGER))) AS INTEGER) AS bin FROM d"
+        for i, (name, (x, _)) in enumerate(COLUMNS.items())
+    )
+    parts = [f"""d AS MATERIALIZED (SELECT doc_id, text, quality AS y FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL), f AS MATERIALIZED ({bins}),
+m0 AS (SELECT doc_id, y, CASE WHEN y = 1 THEN (SELECT sum(1 - y)::DOUBLE / sum(y) FROM d) ELSE 1.0::DOUBLE END AS w, 0.0::DOUBLE AS margin FROM d)"""]
+    for t in range(STUMPS):
+        parts.append(f"""h{t} AS (SELECT c, name, edges, bin, sum(w * (p - y)) AS g, sum(w * p * (1 - p)) AS h, count(*) AS n
+ FROM f JOIN (SELECT *, 1 / (1 + exp(-margin)) AS p FROM m{t}) USING (doc_id) GROUP BY c, name, edges, bin),
+c{t} AS (SELECT *, sum(g) OVER u AS lg, sum(h) OVER u AS lh, sum(n) OVER u AS ln, sum(g) OVER a AS tg, sum(h) OVER a AS th, sum(n) OVER a AS tn, lead(bin) OVER u AS later FROM h{t} WINDOW u AS (PARTITION BY c ORDER BY bin), a AS (PARTITION BY c)),
+s{t} AS MATERIALIZED (SELECT {t} AS tree, c, name, edges[bin + 1] AS edge, bin, round(lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1), 9) AS gain,
+ {RATE} * -lg / (lh + 1) AS vl, {RATE} * -(tg - lg) / (th - lh + 1) AS vr, ln, tn - ln AS rn FROM c{t} WHERE later IS NOT NULL AND ln >= 20 AND tn - ln >= 20 ORDER BY gain DESC, c, bin LIMIT 1),
+m{t + 1} AS MATERIALIZED (SELECT m{t}.doc_id, y, w, margin + CASE WHEN f.bin <= s.bin THEN vl ELSE vr END AS margin FROM m{t} JOIN f USING (doc_id) JOIN s{t} s ON f.c = s.c)""")
+    return ",\n".join(parts) + f", s AS ({' UNION ALL '.join(f'SELECT * FROM s{t}' for t in range(STUMPS))})"
+
+
+@query(f"""WITH {stump_sql()} SELECT tree, name, edge, round(gain, 6) AS gain, round(vl, 6) AS value_below, round(vr, 6) AS value_above, CAST(ln AS BIGINT) AS rows_below, CAST(rn AS BIGINT) AS rows_above FROM s""")
+def boosted_stumps(spark, sf_dir):
+    """Trees of one split for the quality of labelled documents, one row a tree."""
+    nodes = boosting.node_table(spark, stumps(spark, sf_dir)[1])
+    top, below, above = nodes.where("node = 0"), nodes.where("node = 1"), nodes.where("node = 2")
+    sides = [x.select("tree", F.round("value", 6).alias(f"value_{n}"), F.col("cover").alias(f"rows_{n}")) for n, x in (("below", below), ("above", above))]
+    return top.select("tree", "name", "edge", F.round("gain", 6).alias("gain")).join(sides[0], "tree").join(sides[1], "tree")
+
+
+@query(f"""WITH {stump_sql()}, z AS (SELECT doc_id, s.name, CASE WHEN f.bin <= s.bin THEN vl ELSE vr END AS v, (ln * vl + rn * vr) / (ln + rn) AS mean FROM f JOIN s ON f.c = s.c)
+SELECT doc_id, name, round(sum(v - mean), 6) AS contribution, round(b.base, 6) AS base, round(b.margin, 6) AS margin FROM z JOIN (SELECT doc_id, sum(mean) AS base, sum(v) AS margin FROM z GROUP BY doc_id) b USING (doc_id) GROUP BY ALL""")
+def score_contributions(spark, sf_dir):
+    """What each column adds to each document's score, beside the mean score and the score itself."""
+    rows, model = stumps(spark, sf_dir)
+    parts = boosting.contributions(rows, model, ["doc_id"]).join(boosting.score(rows, model).select("doc_id", "margin"), "doc_id")
+    return parts.select("doc_id", "name", *[F.round(c, 6).alias(c) for c in ("contribution", "base", "margin")])
+
+
+@query(f"""WITH {stump_sql()}, g AS (SELECT name, sum(gain) AS gain FROM s GROUP BY name), r AS (SELECT *, row_number() OVER (ORDER BY gain DESC, name) AS place FROM g)
+SELECT name, round(gain, 6) AS gain, CAST(place AS INTEGER) AS place, (SELECT bool_or(name IN ('chars', 'breaks')) FROM r WHERE place <= 2) AS leak FROM r WHERE place <= 15""")
+def importance_report(spark, sf_dir):
+    """Columns by total gain, and whether a size column is among the first two."""
+    return boosting.importance(boosting.node_table(spark, stumps(spark, sf_dir)[1]), ["chars", "breaks"]).withColumn("gain", F.round("gain", 6))
+
+
+@query()
+def boosted_out_of_fold(spark, sf_dir):
+    """Each labelled document's chance of quality under full trees of the other folds; copies share a fold. No SQL: tests compare the trees with a plain grower."""
+    rows = labelled(spark, sf_dir).withColumn("fold", (F.col("family") % 5).cast("int"))
+    scored, model = boosting.out_of_fold(rows, EDGES, "fold", label="quality", rounds=12, depth=3, patience=4, rate=0.2)
+    best = spark.createDataFrame([(int(k), n) for k, n in model["best"].items()], "fold int, rounds int")
+    return scored.join(F.broadcast(best), "fold").select("doc_id", "fold", "rounds", "quality", F.round("prob", 6).alias("prob"))
