@@ -4,7 +4,7 @@ A column's bin is the number of its edges below the value, so a split after bin
 of a tree is one job: gradients and curvatures are added up by node, column and bin (partial sums in the map
 stage), running sums over bins give the gain of every split, and only the best split of each node reaches
 the driver. ``by`` names a column with the key of a model: the trees of all keys (folds, configurations) grow in the same jobs,
-each under its own parameters. Scores stay with the rows, which are written every few rounds to cut the lineage.
+each under its own parameters. Scores stay with the rows, which are written every round (or every ``cut_every``) to cut the lineage.
 
 Objective: logistic loss, second order, penalty l2 on leaf values, leaves of at least ``least`` rows; the class of
 label 1 weighs negatives / positives, so the first score is 0. Trees grow level by level to ``depth``. A null value counts as 0. Rows with
@@ -32,6 +32,16 @@ DEFAULTS = {"rate": 0.05, "l2": 1.0, "least": 20, "columns": None}
 SPLIT = "key string, node int, column int, bin int"
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of driver rows that is part of the plan, so that a broadcast of it needs no job."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=fields))
+
+
 def quantile_edges(rows: DataFrame, features: list[str], bins: int = 64) -> dict[str, list[float]]:
     """At most bins - 1 edges a column, at its approximate quantiles: one pass with a bounded sketch a column."""
     at = [i / bins for i in range(1, bins)]
@@ -94,7 +104,7 @@ def _walked(rows: DataFrame, splits: dict, levels: int) -> DataFrame:
     for level in range(levels):
         own = [(k, n, s["column"], s["bin"]) for (k, n), s in splits.items() if 2**level - 1 <= n < 2 ** (level + 1) - 1]
         if own:
-            table = rows.sparkSession.createDataFrame(own, SPLIT)
+            table = small_table(rows.sparkSession, own, SPLIT)
             onward = F.when(F.col("column").isNull(), F.col("node")).when(F.get("bins", F.col("column")) <= F.col("bin"), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
             rows = rows.join(F.broadcast(table), ["key", "node"], "left").withColumn("node", onward).drop("column", "bin")
     return rows
@@ -107,7 +117,7 @@ def _grow(rows: DataFrame, open_: dict, senses: DataFrame, depth: int) -> tuple[
     splits, made, at = {}, {}, list(bounds)
     for level in range(depth):
         table = [(k, n, float(open_[k]["l2"]), int(open_[k]["least"]), open_[k]["columns"], *bounds[k, n]) for k, n in at]
-        table = spark.createDataFrame(table, "key string, node int, l2 double, least int, columns array<int>, low double, high double")
+        table = small_table(spark, table, "key string, node int, l2 double, least int, columns array<int>, low double, high double")
         at = []
         for s in _best_splits(_walked(rows, splits, level), table, senses):
             k, n = s["key"], s["node"]
@@ -124,7 +134,7 @@ def _grow(rows: DataFrame, open_: dict, senses: DataFrame, depth: int) -> tuple[
 
 def train(
     rows: DataFrame, edges: dict[str, list[float]], label: str = "label", by: str | None = None, valid: str | None = None, rounds: int = 50, depth: int = 3,
-    patience: int = 50, params: dict[str, dict] | None = None, monotone: dict[str, int] | None = None, cut_every: int = 4, **common,
+    patience: int = 50, params: dict[str, dict] | None = None, monotone: dict[str, int] | None = None, cut_every: int = 1, **common,
 ) -> dict:
     """A model: ``nodes`` (rows of NODES; a leaf has no name), ``names`` of its columns, and ``best``, the number of rounds of each key ('all' without ``by``).
 
@@ -141,8 +151,8 @@ def train(
         own = DEFAULTS | common | (params or {}).get(k, {})
         if 0 < p < n:
             open_[k] = own | {"columns": None if own["columns"] is None else [names.index(c) for c in own["columns"]], "ap": -1.0, "since": 0}
-    weights = F.broadcast(spark.createDataFrame([(k, (n - p) / max(p, 1)) for k, (p, n) in counts.items()], "key string, weight double"))
-    senses = spark.createDataFrame([(names.index(c), s) for c, s in (monotone or {}).items()], "column int, sense int")
+    weights = F.broadcast(small_table(spark, [(k, (n - p) / max(p, 1)) for k, (p, n) in counts.items()], "key string, weight double"))
+    senses = small_table(spark, [(names.index(c), s) for c, s in (monotone or {}).items()], "column int, sense int")
     for tree in range(rounds):
         if not open_:
             break
@@ -160,7 +170,7 @@ def train(
         open_ = {k: of for k, of in open_.items() if (k, 0) in splits}
         if not open_:
             break
-        table = spark.createDataFrame([(k, n, v) for (k, n), v in leaves.items()], "key string, node int, value double")
+        table = small_table(spark, [(k, n, v) for (k, n), v in leaves.items()], "key string, node int, value double")
         moved = _walked(state, splits, depth).join(F.broadcast(table), ["key", "node"], "left")
         state = moved.select("key", "label", "held", "bins", (F.col("score") + F.coalesce("value", F.lit(0.0))).alias("score"))
         state = written(state) if (tree + 1) % cut_every == 0 else state
@@ -193,7 +203,7 @@ def mean_rounds(best: dict, floor: int = 50) -> int:
 
 
 def node_table(spark: SparkSession, model: dict) -> DataFrame:
-    return spark.createDataFrame(model["nodes"], NODES)
+    return small_table(spark, model["nodes"], NODES)
 
 
 def importance(nodes: DataFrame, size_features: list[str], top: int = 15) -> DataFrame:

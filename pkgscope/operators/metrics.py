@@ -88,6 +88,24 @@ def f_threshold(rows: DataFrame, beta: float = 0.5, low: float = 0.05, high: flo
     return each.select("i", F.round(f, 9).alias("f")).orderBy(F.desc("f"), "i").limit(1).select(at(F.col("i")).alias("threshold"), "f")
 
 
+def period_f_thresholds(rows: DataFrame, period: str, beta: float = 0.5, low: float = 0.05, high: float = 0.95, steps: int = 91) -> DataFrame:
+    """period, threshold: each period's best F-beta over evenly spaced thresholds, the least of equal ones; 0.5 without malware, as no threshold then is better than another.
+
+    Rows are summed by the number of thresholds that they reach; the sums above each threshold follow from at most steps + 1 rows a period.
+    """
+    step = (high - low) / (steps - 1)
+    grid = [high if i == steps - 1 else i * step + low for i in range(steps)]
+    reached = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("score")))
+    cells = rows.groupBy(period, reached.alias("reached")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    every = cells.groupBy(period).agg(F.sum("p").alias("all_p")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    passed = F.col("reached") > F.col("i")
+    sums = every.join(cells, period).groupBy(period, "i", "all_p").agg(F.sum(F.when(passed, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(passed, F.col("n")).otherwise(0)).alias("fp"))
+    b = beta * beta
+    f = F.round(ratio((1 + b) * F.col("tp"), (1 + b) * F.col("tp") + b * (F.col("all_p") - F.col("tp")) + F.col("fp")), 9)
+    best = sums.withColumn("f", f).groupBy(period).agg(F.min(F.struct((-F.col("f")).alias("f"), "i")).alias("best"), F.max("all_p").alias("all_p"))
+    return best.select(period, F.when(F.col("all_p") == 0, F.lit(0.5)).otherwise(F.get(F.array(*map(F.lit, grid)), F.col("best.i"))).alias("threshold"))
+
+
 def reliability(rows: DataFrame, edges: tuple[float, ...] = (0.05, 0.2, 0.5, 0.8, 0.95)) -> DataFrame:
     """bin, n, observed over uneven bins of the score."""
     bin_ = sum(((F.col("score") >= e).cast("int") for e in edges), F.lit(0))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import decision
-from ..operators import boosting, logistic, metrics
+from ..operators import boosting, logistic, metrics, rolling
 from .decisions import CAL, LOGIT, ROWS, tiers
-from .registry import load, query
+from .registry import GRID, load, query
 
 # Events whose label follows the score and the share by a fixed rule of the id, so that there is something to fit.
 LABEL = "CASE WHEN (event_id * 7919 % 1000) / 1000.0::DOUBLE < 0.05 + 0.55 * score + 0.3 * coalesce(share, 0.4) THEN 1 ELSE 0 END"
@@ -168,6 +168,58 @@ def importance_report(spark, sf_dir):
 def boosted_out_of_fold(spark, sf_dir):
     """Each labelled document's chance of quality under full trees of the other folds; copies share a fold. No SQL: tests compare the trees with a plain grower."""
     rows = labelled(spark, sf_dir).withColumn("fold", (F.col("family") % 5).cast("int"))
-    scored, model = boosting.out_of_fold(rows, EDGES, "fold", label="quality", rounds=12, depth=3, patience=4, rate=0.2)
+    scored, model = boosting.out_of_fold(rows, EDGES, "fold", label="quality", rounds=8, depth=3, patience=3, rate=0.3)
     best = spark.createDataFrame([(int(k), n) for k, n in model["best"].items()], "fold int, rounds int")
     return scored.join(F.broadcast(best), "fold").select("doc_id", "fold", "rounds", "quality", F.round("prob", 6).alias("prob"))
+
+
+def day_fit_sql(fold: str) -> str:
+    """Ridge fits of each day's earlier malware and the benign rows that are not held; ``fold`` is the one left out."""
+    return f"""(SELECT day, k, (t0 * (d * f - e * e) - b * (t1 * f - e * t2) + c * (t1 * e - d * t2)) / det AS b0, (a * (t1 * f - t2 * e) - t0 * (b * f - c * e) + c * (b * t2 - c * t1)) / det AS b1,
+ (a * (d * t2 - e * t1) - b * (b * t2 - c * t1) + t0 * (b * e - c * d)) / det AS b2 FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM (
+ SELECT day, k, sum(w) AS a, sum(w * score) AS b, sum(w * share) AS c, sum(w * score * score) + 1 AS d, sum(w * score * share) AS e, sum(w * share * share) + 1 AS f,
+  sum(w * label) AS t0, sum(w * label * score) AS t1, sum(w * label * share) AS t2
+ FROM (SELECT *, CASE WHEN label = 1 THEN (count(*) FILTER (label = 0) OVER g)::DOUBLE / count(*) FILTER (label = 1) OVER g ELSE 1.0::DOUBLE END AS w
+  FROM (SELECT m.day, k, r.score, r.share, r.label FROM days m, (SELECT unnest({fold}) AS k), r WHERE NOT r.held AND r.fold <> k AND (r.label = 0 OR r.day < m.day)) WINDOW g AS (PARTITION BY day, k))
+ GROUP BY day, k HAVING count(*) FILTER (label = 1) > 0)))"""
+
+
+def limit_sql(rate: float) -> str:
+    return f"(SELECT day, min(score) + 1e-9 AS t FROM (SELECT day, score, row_number() OVER (PARTITION BY day ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY day) AS n FROM oof WHERE label = 0) WHERE i = least(floor(n * (1 - {rate}::DOUBLE)), n - 1) GROUP BY day)"
+
+
+DAYS = f"""r AS MATERIALIZED (SELECT event_id, user_id, day, score, coalesce(share, 0.5) AS share, capable, label, label = 0 AND user_id % 5 = 0 AS held, CAST(event_id % 5 AS INTEGER) AS fold
+ FROM {KNOWN.replace("event_id, user_id,", "event_id, user_id, day,")} WHERE event_id % 3 = 0 OR user_id % 40 < day[9:10]::INT),
+seen AS (SELECT user_id, min(day) AS first FROM r WHERE label = 1 GROUP BY user_id), days AS MATERIALIZED (SELECT DISTINCT day FROM r JOIN seen USING (user_id) WHERE label = 1 AND day = first),
+fits AS MATERIALIZED {day_fit_sql("[-1]")}, parts AS MATERIALIZED {day_fit_sql("[0, 1, 2, 3, 4]")},
+test AS (SELECT fits.day, event_id, label, capable, round(least(greatest(b0 + b1 * score + b2 * share, 0), 1), 9) AS prob FROM r, fits WHERE r.held OR (r.label = 1 AND r.day = fits.day AND EXISTS (SELECT 1 FROM seen WHERE seen.user_id = r.user_id AND first = r.day))),
+oof AS MATERIALIZED (SELECT p.day, label, round(least(greatest(b0 + b1 * score + b2 * share, 0), 1), 9) AS score FROM r JOIN parts p ON p.k = r.fold AND NOT r.held AND (r.label = 0 OR r.day < p.day)),
+fb AS (SELECT day, i, {GRID} AS t, count(*) FILTER (label = 1 AND score >= t) AS tp, count(*) FILTER (label = 0 AND score >= t) AS fp, count(*) FILTER (label = 1) AS p FROM oof, range(91) g(i) GROUP BY day, i),
+best AS (SELECT day, t FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(coalesce(1.25 * tp / nullif(1.25 * tp + 0.25 * (p - tp) + fp, 0), 0), 9) DESC, i) AS place FROM fb) WHERE place = 1)"""
+
+
+def daily(spark, sf_dir):
+    """Events as packages, days as months: users come in over time, every fifth user's benign events are held for the tests."""
+    rows = known(spark, sf_dir).join(load(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day")), "event_id").withColumn("share", F.coalesce("share", F.lit(0.5)))
+    rows = rows.where((F.col("event_id") % 3 == 0) | (F.col("user_id") % 40 < F.substring("day", 9, 2).cast("int")))
+    held = (F.col("label") == 0) & (F.col("user_id") % 5 == 0)
+    return rolling.rolling_scores(rows, ["score", "share"], "user_id", "day", held, F.col("event_id") % 5)
+
+
+@query(f"""WITH {DAYS} SELECT test.day, event_id, label, capable, round(prob, 6) AS prob, round(best.t, 6) AS t_f05, round(a.t, 6) AS t_fpr1, round(b.t, 6) AS t_fpr05, round(c.t, 6) AS t_strict
+FROM test JOIN best USING (day) JOIN {limit_sql(0.01)} a USING (day) JOIN {limit_sql(0.005)} b USING (day) JOIN {limit_sql(0.001)} c USING (day)""")
+def rolling_retrained(spark, sf_dir):
+    """Each day's tested events under a model of the days before, with that day's thresholds."""
+    return daily(spark, sf_dir).select("day", "event_id", "label", "capable", *[F.round(c, 6).alias(c) for c in ("prob", "t_f05", "t_fpr1", "t_fpr05", "t_strict")])
+
+
+@query(f"""WITH {DAYS}, j AS (SELECT test.*, best.t AS f05, a.t AS fpr1 FROM test JOIN best USING (day) JOIN {limit_sql(0.01)} a USING (day)),
+s AS (SELECT 'all' AS "set", * FROM j UNION ALL SELECT 'early', * FROM j WHERE day < '2024-01-15' UNION ALL SELECT 'late', * FROM j WHERE day >= '2024-01-15' UNION ALL SELECT 'capable', * FROM j WHERE capable),
+h AS (SELECT "set", 'f05' AS "at", label, prob >= f05 AS hit FROM s UNION ALL SELECT "set", 'fpr1', label, prob >= fpr1 FROM s),
+c AS (SELECT "set", "at", count(*) AS n, count(*) FILTER (label = 1) AS n_mal, count(*) FILTER (hit AND label = 1) AS tp, count(*) FILTER (hit AND label = 0) AS fp, count(*) FILTER (NOT hit AND label = 0) AS tn FROM h GROUP BY 1, 2)
+SELECT "set", "at", n, n_mal, round(tp / nullif(n_mal, 0), 6) AS recall, round(tp / nullif(tp + fp, 0), 6) AS "precision", round(fp / nullif(fp + tn, 0), 6) AS fpr, round((tp + tn) / n, 6) AS accuracy FROM c""")
+def retrained_by_set(spark, sf_dir):
+    """One experiment's row for each set and threshold, from the same scored rows."""
+    sets = {"all": F.lit(True), "early": F.col("day") < "2024-01-15", "late": F.col("day") >= "2024-01-15", "capable": F.col("capable")}
+    found = rolling.set_metrics(daily(spark, sf_dir), sets, {"f05": F.col("t_f05"), "fpr1": F.col("t_fpr1")})
+    return found.select("set", "at", "n", "n_mal", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "fpr", "accuracy")])
