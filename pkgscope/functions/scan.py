@@ -32,6 +32,8 @@ DANGER_SIGNS = {
 MIN_DENSITY_LOC = 50
 SECRET, HOST = "(?i)" + "|".join(SECRETS), "(?i)" + "|".join(exfiltration.HOSTS)
 PRINTABLE = r"[\x20-\x7e]{6,}"
+# Every line end that a line of text may have, the pair of two first.
+LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def line_hits(text: Column) -> Column:
@@ -46,7 +48,7 @@ def line_hits(text: Column) -> Column:
         each = F.array(*[found(kind, i, call) for kind, call in first])
         return F.when(F.length(s) > T.PACKED_LINE, packed).otherwise(F.filter(each, lambda h: h["call"] != ""))
 
-    return F.flatten(F.transform(F.split(text, "\n"), of))
+    return F.flatten(F.transform(F.split(text, LINE_END), of))
 
 
 def weighed(category: Column) -> Column:

@@ -10,7 +10,6 @@ from . import splits
 
 LEAST_SHARE, MOST_RATIO = 1e-3, 999.0
 LEAST_CONTRIBUTION = 1e-3
-ADVISORY = "name string, published string, modified string"
 
 
 def first_files(rows: DataFrame, package: str, order: list[Column], most: int) -> DataFrame:
@@ -68,9 +67,3 @@ def distribution(rows: DataFrame, features: list[str]) -> DataFrame:
         "feature", "value", F.when(low, "le").otherwise("ge").alias("tail"), F.round(m, 4).alias("malicious_share"), F.round(b, 4).alias("benign_share"),
         F.round(F.least(m / F.greatest(b, F.lit(LEAST_SHARE)), F.lit(MOST_RATIO)), 2).alias("ratio"),
     )
-
-
-def report_dates(rows: DataFrame, body: Column) -> DataFrame:
-    """name, reported: the earliest day of each name in JSON advisories; published counts before modified, broken ones are left out."""
-    read = rows.select(F.from_json(body, ADVISORY).alias("a")).select("a.name", F.left(F.coalesce("a.published", "a.modified"), F.lit(10)).alias("day"))
-    return read.where("name is not null and day is not null").groupBy("name").agg(F.min("day").alias("reported"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import exfiltration, files, scan
 from ..functions import text as T
 from ..operators import evidence
+from ..sources import indexes
 from .registry import SCORED as NARROW
 from .registry import load, query, scored
 
@@ -79,7 +80,7 @@ def snippets(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", files.snippet(F.col("text")).alias("snippet"))
 
 
-LINES = ["open('~/.ssh/id_rsa') # discord.com/api/webhooks", "8.8.8.8 and 10.0.0.1", "Login Data", "plain", "curl https://x.ngrok.io/9.9.9.9", "wallet.dat", "127.0.0.1"]
+LINES = ["open('~/.ssh/id_rsa') # discord.com/api/webhooks", "8.8.8.8 and 10.0.0.1", "Login Data", "a\r8.8.4.4\u2028b\r\nLogin Data", "curl https://x.ngrok.io/9.9.9.9", "wallet.dat", "127.0.0.1"]
 ADDED_SQL = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in LINES) + "][doc_id % 7 + 1]"
 
 
@@ -89,7 +90,7 @@ def said(spark, sf_dir, lines):
 
 
 IPS_SQL = f"list_filter(regexp_extract_all(s, '{T.IP}'), lambda a: NOT regexp_matches(a, '^(127\\.|0\\.|10\\.|192\\.168\\.|255\\.)'))"
-HITS_SQL = f"""WITH w AS (SELECT doc_id, source, string_split(text || chr(10) || {ADDED_SQL}, chr(10)) AS ls FROM documents),
+HITS_SQL = f"""WITH w AS (SELECT doc_id, source, regexp_split_to_array(text || chr(10) || {ADDED_SQL}, '{scan.LINE_END}') AS ls FROM documents),
 l AS (SELECT doc_id, source, unnest(ls) AS s, generate_subscripts(ls, 1) AS line FROM w),
 hits AS MATERIALIZED (SELECT doc_id, source, 'packed_blob' AS category, CAST(line AS INTEGER) AS line, length(s) || ' chars' AS call, 3 AS w FROM l WHERE length(s) > 500
  UNION ALL SELECT doc_id, source, 'secrets', line, regexp_extract(s, '{scan.SECRET}'), 3 FROM l WHERE length(s) <= 500 AND regexp_matches(s, '{scan.SECRET}')
@@ -225,12 +226,14 @@ def confidences(spark, sf_dir):
     return rows.groupBy("day", "label").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
-@query("""WITH a AS (SELECT user_id % 400 AS name, strftime(ts, '%Y-%m-%d') AS day, event_id FROM events WHERE event_id % 11 <> 0)
-SELECT CAST(name AS VARCHAR) AS name, min(day) AS reported FROM a GROUP BY name""")
+@query("""WITH a AS (SELECT 'pkg-' || user_id % 400 AS name, CASE WHEN event_id % 5 = 0 AND (event_id % 3 = 0 OR event_id % 7 = 0) THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0)
+SELECT name, min(day) AS reported FROM a WHERE day IS NOT NULL GROUP BY name""")
 def report_dates(spark, sf_dir):
-    """Earliest day a name in advisories put as JSON, every eleventh of them broken, every third without its first date."""
+    """Earliest day of a name in advisories put as JSON. Some are broken, some name nothing; dates are missing or empty, names are written in several ways."""
     day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    body = F.to_json(F.struct(
-        (F.col("user_id") % 400).cast("string").alias("name"), F.when(F.col("event_id") % 3 != 0, day).alias("published"), day.alias("modified"),
-    ))
-    return evidence.report_dates(load(spark, sf_dir, "events").select(F.when(F.col("event_id") % 11 == 0, F.left(body, F.lit(9))).otherwise(body).alias("body")), F.col("body"))
+    name = F.concat(F.when(F.col("event_id") % 2 == 0, F.lit("Pkg_.")).otherwise(F.lit("pkg-")), (F.col("user_id") % 400).cast("string"))
+    affected = F.when(F.col("event_id") % 13 == 0, F.array()).otherwise(F.array(F.struct(F.struct(name.alias("name")).alias("package"))))
+    published = F.when(F.col("event_id") % 3 == 0, F.lit("")).when(F.col("event_id") % 7 != 0, day)
+    body = F.to_json(F.struct(published.alias("published"), F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(day).alias("modified"), affected.alias("affected")))
+    read = load(spark, sf_dir, "events").select(F.from_json(F.when(F.col("event_id") % 11 == 0, F.left(body, F.lit(9))).otherwise(body), indexes.ADVISORY).alias("a"))
+    return indexes.report_dates(read.select("a.*"))

@@ -14,7 +14,13 @@ SCHEMA = "archive string, path string, size long, content binary, error string"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    return unpack(spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_ARCHIVE).select("path", "content"))
+    """The members of all archives; one beyond MAX_ARCHIVE is a reject row, and its content is not read."""
+    found = spark.read.format("binaryFile").load(path)
+    large = found.where(F.col("length") > MAX_ARCHIVE).select(
+        F.col("path").alias("archive"), *[F.lit(None).cast(t).alias(c) for c, t in (("path", "string"), ("size", "long"), ("content", "binary"))],
+        F.concat(F.lit("ValueError: archive of "), F.col("length").cast("string"), F.lit(" bytes")).alias("error"),
+    )
+    return unpack(found.where(F.col("length") <= MAX_ARCHIVE).select("path", "content")).unionByName(large)
 
 
 def _members(content: bytes):
