@@ -50,6 +50,35 @@ def assess(prob: Column, share: Column, capable: Column, cal: dict) -> dict[str,
     }
 
 
+# What a verdict rests on, and what is added for each way to reach it.
+BASIS_BOTH, BASIS_ALONE = "classifier and code similarity", "classifier only (similarity unavailable)"
+SAID = {
+    "sure without capability": "; the classifier alone is confident enough, though no concrete capability was found",
+    "flagged without capability": "; the score is high but no concrete malicious capability (code that runs by itself, a payload, exfiltration) was found, so review it",
+    "review": "; below the classifier's alarm threshold but high enough to review",
+    "similar only": "; the code resembles known malware, but the classifier does not flag it",
+    "sure alone": "; the classifier alone is confident enough",
+    "together": "; neither flags it alone, but together they lean malicious",
+}
+
+
+def basis(prob: Column, share: Column, capable: Column, cal: dict) -> Column:
+    """What the verdict of assess() rests on, in words; cal as there."""
+    made = assess(prob, share, capable, cal)
+    flag = prob >= cal["classifier_threshold"]
+    review = (prob >= cal.get("review_threshold", cal["classifier_threshold"])) & ~flag
+    strict = prob >= cal.get("strict_threshold", 1.1)
+    similar, able = F.coalesce(share >= cal["sim_flag"], F.lit(False)), F.coalesce(capable, F.lit(True))
+    if cal.get("capability_gate"):
+        why = F.when(strict & ~able, SAID["sure without capability"]).when(flag & ~able, SAID["flagged without capability"]).when(review, SAID["review"]).when(similar & ~flag, SAID["similar only"])
+    else:
+        why = F.when(strict & ~similar, SAID["sure alone"]).when(review & ~similar, SAID["review"])
+    # Nothing flags it, yet it is not called clean: the chance alone says so.
+    quiet = ~(flag | similar | review | strict)
+    together = F.when(quiet & (made["tier"] == "suspicious"), SAID["together"]).otherwise("")
+    return F.concat(F.when(share.isNull(), BASIS_ALONE).otherwise(BASIS_BOTH), F.coalesce(why, F.lit("")), together)
+
+
 def policies(prob: Column, capable: Column, f05: float, fpr1: float, fpr05: float, strict: float) -> dict[str, Column]:
     """The seven decision policies as predicates."""
     sure = prob >= strict

@@ -17,13 +17,22 @@ SECRETS = [
     r"Chrome[/\\]User Data", r"wallet\.dat", r"Ethereum[/\\]keystore", r"Telegram Desktop",
     r"discord[^\n]{0,40}token", r"Exodus[/\\]", r"Electrum[/\\]",
 ]
-HIT_WEIGHTS = {"secrets": 3, "exfil_host": 4, "packed_blob": 3, "hardcoded_ip": 2}
+HIT_WEIGHTS = {
+    "hidden_name": 4, "secrets": 3, "exfil_host": 4, "packed_blob": 3,
+    "exec": 3, "process": 3, "network": 2, "deserialize": 2, "decode": 2,
+    "chmod": 2, "home": 1, "fs_walk": 1, "delete": 1, "env": 1, "silent_except": 1,
+    "hardcoded_ip": 2, "dynamic_import": 1,
+}
 RISKY_TOKENS = (
     r"subprocess|os\.system|popen|exec\(|eval\(|b64decode|urlopen|"
     r"urlretrieve|requests\.(get|post)|socket\.|marshal|__import__|chmod|"
     r"startfile|decompress|fromhex|getenv|environ"
 )
-DANGER_WEIGHTS = {"exec": 3, "process": 3, "network": 2, "decode": 2, "chmod": 2, "dynamic_import": 1, "env": 1}
+DANGER_WEIGHTS = {
+    "hidden_name": 4, "exec": 3, "process": 3, "network": 2, "deserialize": 2,
+    "decode": 2, "chmod": 2, "dynamic_import": 1, "home": 1, "fs_walk": 1,
+    "delete": 1, "env": 1, "silent_except": 1,
+}
 # Textual signs of the kinds of danger.
 DANGER_SIGNS = {
     "exec": r"\b(?:exec|eval)\(", "process": r"subprocess|os\.system|popen", "network": r"urlopen|requests\.(?:get|post)|socket\.",
@@ -69,10 +78,15 @@ def shown_hits(hits: Column, most: int = 14) -> Column:
     return F.array_sort(F.transform(kept, lambda h: F.struct(h["line"], h["w"], h["category"], h["call"])))
 
 
+def printable(content: Column) -> Column:
+    """The printable runs of six bytes or more of a binary, one a line."""
+    return F.array_join(F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(PRINTABLE), F.lit(0)), "\n")
+
+
 def binary_indicators(content: Column) -> dict[str, Column]:
     """Counts over the printable runs of six bytes or more of a binary."""
     runs = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(PRINTABLE), F.lit(0))
-    text = F.array_join(runs, "\n")
+    text = printable(content)
     urls = F.regexp_extract_all(text, F.lit(T.URL), F.lit(0))
     ips = F.filter(T.public_ips(text), lambda a: ~a.startswith("1.") & ~a.startswith("2.") & F.forall(F.split(a, r"\."), lambda x: x.cast("int") <= 255))
     return {

