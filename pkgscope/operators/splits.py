@@ -19,6 +19,11 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def behaviour_print(features: list[str], digits: int = 4) -> Column:
+    """The features rounded half to even, as one value that is equal only where all of them are; a null counts as 0."""
+    return F.concat_ws(":", *[(F.bround(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), digits) + F.lit(0.0)).cast("string") for c in features])
+
+
 def merge_families(rows: DataFrame, name: str, fingerprint: str) -> DataFrame:
     """name, family: names that share fingerprints, directly or through others, get the least name."""
     pairs = _cut(rows.select(F.col(name).alias("name"), F.col(fingerprint).alias("print")).distinct())

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import decision, exfiltration, scan
+from ..functions import decision, describe, exfiltration, scan
 from ..functions import text as T
-from ..operators import binaries, pooling, vectors
+from ..operators import augment, binaries, pooling, reading, splits, vectors
 from .decisions import CAL, LOGIT, ROWS, candidates, odds
 from .registry import load, query
 
@@ -157,3 +157,84 @@ def verdict_reasons(spark, sf_dir):
     rows = candidates(spark, sf_dir)
     parts = [rows.select(F.lit(g).alias("gate"), decision.basis(F.col("score"), F.col("share"), F.col("capable"), LEAN | ({"capability_gate": True} if g else {})).alias("basis"), "label") for g in (True, False)]
     return parts[0].unionByName(parts[1]).groupBy("gate", "basis").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("n_mal"))
+
+
+# Parts stand for packages with files, lines and counters.
+POOL_SQL = """(SELECT p_partkey AS id, p_brand AS grp, p_size % 2 AS label, p_size * 8 AS n_files, p_size % 5 AS n_py, p_partkey % 40 * 60 AS loc, p_partkey % 3 = 1 OR p_partkey % 7 = 2 AS risky FROM part)"""
+KINDS = ["append", "import", "install", "module"]
+
+
+def pool_sql(name: str, where: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT id, grp, row_number() OVER (ORDER BY md5('1337:' || id), id) - 1 AS no, count(*) OVER () AS size FROM p WHERE {where})"
+
+
+def number_sql(what: str) -> str:
+    return f"('0x' || left(md5('1337:{what}:' || draw), 8))::BIGINT"
+
+
+GOOD = "label = 0 AND n_py >= 1 AND loc <= 2000"
+
+
+@query(f"""WITH p AS {POOL_SQL}, {pool_sql("host", "label = 0 AND n_files BETWEEN 5 AND 300")}, {pool_sql("bad", "label = 1 AND n_py >= 1")}, {pool_sql("good", GOOD)}, {pool_sql("risky", GOOD + " AND risky")},
+d AS (SELECT draw, ['append', 'import', 'install', 'module'][{number_sql("kind")} % 4 + 1] AS kind, {number_sql("risky")} < 3221225472 AS r, {number_sql("host")} % (SELECT max(size) FROM host) AS h,
+ {number_sql("donor1")} AS d1, {number_sql("donor0")} AS d0 FROM range((SELECT count(*) FROM part)) t(draw)),
+x AS (SELECT draw, kind, r, d1, d0, id AS host, grp AS host_group FROM d JOIN host ON host.no = h),
+y AS (SELECT draw, 1 AS label, kind, host, host_group, id AS donor, grp AS donor_group FROM x JOIN bad ON no = d1 % size UNION ALL SELECT draw, 0, kind, host, host_group, id, grp FROM x JOIN risky ON r AND no = d0 % size
+ UNION ALL SELECT draw, 0, kind, host, host_group, id, grp FROM x JOIN good ON NOT r AND no = d0 % size)
+SELECT * FROM y WHERE host_group <> donor_group""")
+def drawn_pairs(spark, sf_dir):
+    """As many draws of host, kind and donors as there are packages (parts)."""
+    risky = (F.col("p_partkey") % 3 == 1, F.col("p_partkey") % 7 == 2)
+    counters = dict.fromkeys(augment.RISKY, F.lit(0)) | {"call_network": risky[0].cast("int"), "call_exec": risky[1].cast("int")}
+    part = load(spark, sf_dir, "part")
+    rows = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("grp"), (F.col("p_size") % 2).alias("label"), (F.col("p_size") * 8).alias("pkg_n_files"), (F.col("p_size") % 5).alias("pkg_n_py_files"),
+                       (F.col("p_partkey") % 40 * 60).alias("pkg_loc"), *[c.alias(n) for n, c in counters.items()])
+    return augment.draw_pairs(rows, "id", "grp", part.count(), KINDS)
+
+
+PRINT_SQL = "round_even(length(text) / 7000.0::DOUBLE, 2) || ':' || round_even((length(text) - length(replace(text, chr(10), ''))) / 70.0::DOUBLE, 2)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT doc_id // 4 AS name, {PRINT_SQL} AS p FROM documents WHERE length(text) > 2000), n AS (SELECT DISTINCT a.name AS x, b.name AS y FROM e a JOIN e b USING (p)),
+r(x, y) AS (SELECT x, y FROM n UNION SELECT r.x, n.y FROM r JOIN n ON r.y = n.x) SELECT x AS name, min(y) AS family FROM r GROUP BY x""")
+def merged_by_behaviour(spark, sf_dir):
+    """Names (four documents each) joined where the rounded features of two of their longer documents agree; the features themselves are the key, no hash of them."""
+    rows = load(spark, sf_dir, "documents").where("length(text) > 2000").select(F.expr("doc_id div 4").alias("name"), (F.length("text") / 7000).alias("long"), (F.regexp_count("text", F.lit("\n")) / 70).alias("breaks"))
+    return splits.merge_families(rows.withColumn("print", splits.behaviour_print(["long", "breaks"], 2)), "name", "print")
+
+
+@query(f"""WITH f AS (SELECT source, doc_id, length(text) AS size, regexp_matches(text, 'ing') AS hit, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id % 3, doc_id) AS place FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, row_number() OVER w AS no, coalesce(sum(CASE WHEN hit THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM f WHERE place > 5 WINDOW w AS (PARTITION BY source ORDER BY path))
+SELECT source, doc_id FROM b WHERE hit AND no <= 20 AND used < 9000""")
+def files_beyond_cap(spark, sf_dir):
+    """Files past the first five of a package that are read as well: those that match among the next twenty, within 9,000 characters."""
+    rows = load(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", F.length("text").alias("size"), F.col("text").rlike("ing").alias("hit"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("path"))
+    return reading.beyond_cap(rows, "source", [F.col("doc_id") % 3, F.col("doc_id")], "path", "size", "hit", 5, 20, 9000).select("source", "doc_id")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r, turn % 2 = 1 AND length(text) % 3 <> 0 AS known FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS a FROM r WHERE known)
+SELECT conv_id, 'analysis' AS part, turn, a = 1 AS newest FROM k WHERE a <= 3 UNION ALL SELECT conv_id, 'turn', turn, false FROM r WHERE r <= 8 AND role IN ('user', 'assistant') AND coalesce(text, '') <> ''""")
+def chat_contexts(spark, sf_dir):
+    """What each chat's next answer is built on: the last three analyses (some of the answers) and the last eight turns."""
+    known = (F.col("turn") % 2 == 1) & (F.length("text") % 3 != 0)
+    return reading.chat_context(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", known)
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'pkg_has_readme' WHEN 1 THEN 'pkg_loc' WHEN 2 THEN 'exfil_total' ELSE 'install_has_cmdclass' END AS feature,
+  CASE l_linenumber % 4 WHEN 1 THEN CAST(l_partkey AS BIGINT) WHEN 2 THEN l_suppkey % 5 ELSE l_partkey % 2 END AS value, l_partkey % 3 = 0 AS le, (l_quantity::BIGINT * 2) AS m, (l_suppkey % 100) AS b FROM lineitem),
+s AS (SELECT *, feature IN ('pkg_has_readme', 'install_has_cmdclass') AS yes, least(greatest(m, 1) / 10.0, 9.5) AS r FROM v)
+SELECT l_orderkey, l_linenumber, CASE WHEN yes THEN CASE WHEN value <> 0 THEN 'present' ELSE 'NOT present' END WHEN value = 0 THEN '0 (none found)' ELSE CAST(value AS VARCHAR) END AS observed,
+ m || '% of the 1,546 malicious and ' || b || '% of the 12,345 benign training packages ' || CASE WHEN yes THEN CASE WHEN value <> 0 THEN 'had this' ELSE 'lacked this' END WHEN value = 0 AND le THEN 'had none'
+  ELSE 'had ' || CASE WHEN le THEN 'at most ' ELSE 'at least ' END || value END || ' (' || CASE WHEN r >= 1.05 THEN rtrim(rtrim(format('{:.1f}', r), '0'), '.') || 'x more common among malware' WHEN r <= 0.95 THEN format('{:.1f}', round_even(1 / r, 1)) || 'x more common among benign packages'
+  ELSE 'about equally common in both' END || ')' AS compared FROM s""")
+def described_evidence(spark, sf_dir):
+    """Values and their place among the training data in words; order lines stand for pieces of evidence."""
+    kind, part = F.col("l_linenumber") % 4, F.col("l_partkey")
+    feature = F.when(kind == 0, "pkg_has_readme").when(kind == 1, "pkg_loc").when(kind == 2, "exfil_total").otherwise("install_has_cmdclass")
+    value = F.when(kind == 1, part).when(kind == 2, F.col("l_suppkey") % 5).otherwise(part % 2).cast("double")
+    m = F.col("l_quantity").cast("long") * 2
+    context = {"tail": F.when(part % 3 == 0, "le").otherwise("ge"), "malicious_share": m / 100, "benign_share": F.col("l_suppkey") % 100 / 100, "ratio": F.least(F.greatest(m, F.lit(1)) / 10, F.lit(9.5)),
+               "n_malicious": F.lit(1546), "n_benign": F.lit(12345)}
+    rows = load(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", describe.observation(feature, value).alias("observed"), describe.training(feature, value, context).alias("compared"))
