@@ -1,7 +1,8 @@
-"""Scalar functions on names and texts, all inside the JVM."""
+"""Scalar functions on names and texts, inside the JVM but for entropies() of whole texts."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +54,23 @@ def entropy(text: Column) -> Column:
     return F.when(size > 0, F.log2(size) - F.aggregate(counts, F.lit(0.0), lambda s, n: s + n * F.log2(n)) / size)
 
 
+def entropies():
+    """The same for whole texts, as a function of a text column: code points are counted in Arrow batches, in time that does not depend on how many differ."""
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(text):
+            if not text:
+                return None
+            n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)[1] / len(text)
+            return float(-(n * np.log2(n)).sum())
+
+        return pd.Series([one(t) for t in texts], dtype="float64")
+
+    return of
+
+
 def non_ascii_share(text: Column) -> Column:
     """Share of characters beyond ASCII; the length counts as 1 at least."""
     kept = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))

@@ -88,6 +88,24 @@ def f_threshold(rows: DataFrame, beta: float = 0.5, low: float = 0.05, high: flo
     return each.select("i", F.round(f, 9).alias("f")).orderBy(F.desc("f"), "i").limit(1).select(at(F.col("i")).alias("threshold"), "f")
 
 
+def median(rows: DataFrame) -> DataFrame:
+    """mid: the exact median of the scores (0..1), the mean of the two middle ones for an even number; null without any.
+
+    Ranges of scores are counted first, and of the ranges that hold the middle only distinct scores are ranked.
+    """
+    known = rows.where(F.col("score").isNotNull()).select("score", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin"))
+    counts = known.groupBy("bin").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.orderBy("bin"))
+    counts = counts.withColumns({"base": upto - F.col("n"), "total": F.sum("n").over(W.partitionBy())})
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    holds = counts.withColumns({"low": low, "high": high}).where((F.col("base") <= F.col("high")) & (F.col("low") < F.col("base") + F.col("n"))).select("bin", "base", "low", "high")
+    steps = known.join(F.broadcast(holds), "bin").groupBy("bin", "base", "low", "high", "score").agg(F.count("*").alias("n"))
+    past = F.col("base") + F.sum("n").over(W.partitionBy("bin").orderBy("score"))
+    steps = steps.withColumn("past", past)
+    at = lambda i: F.min(F.when(F.col("past") > i, F.col("score")))
+    return steps.agg(((at(F.col("low")) + at(F.col("high"))) / 2).alias("mid"))
+
+
 def period_f_thresholds(rows: DataFrame, period: str, beta: float = 0.5, low: float = 0.05, high: float = 0.95, steps: int = 91) -> DataFrame:
     """period, threshold: each period's best F-beta over evenly spaced thresholds, the least of equal ones; 0.5 without malware, as no threshold then is better than another.
 

@@ -1,7 +1,6 @@
 """Vector neighbours of a stated query set, their vote, and the closest of each class.
 
-The query set is broadcast only while it is small; beyond that its rows are dealt into blocks which
-the index meets one equi-join key at a time.
+Queries and index meet in blocks (tiles), which keep each query's best.
 """
 
 from __future__ import annotations
@@ -10,9 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BROADCAST_QUERIES = 5_000
-BLOCKS = 64
-
+from . import tiles
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -24,17 +21,9 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
 
 
-def scored_pairs(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, vec_id, label, score of every query against every other vector."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    v = index.select("vec_id", "label", "embedding")
-    other = F.col("query_id") != F.col("vec_id")
-    if q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        pairs = v.join(F.broadcast(q), other)
-    else:
-        blocks = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)))
-        pairs = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)).cast("array<long>"))).join(blocks, "block").where(other)
-    return pairs.select("query_id", "vec_id", "label", dot(F.col("q"), F.col("embedding")).alias("score"))
+def neighbours(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, label, score, rank of each query's k most similar other vectors (unit vectors, inner product)."""
+    return top(tiles.best(index, queries, k).drop("side"), k)
 
 
 def top(pairs: DataFrame, k: int) -> DataFrame:

@@ -1,7 +1,6 @@
 """Vectors of files and packages: means in levels, nearest packages of each class by tiles, best file pairs.
 
-Means add up each component in one aggregate a component, so a vector stays one row. Nearest packages come from products of
-blocks of queries with blocks of the index, and a tile gives a query's best of each class; file pairs are made
+Means add up each component in one aggregate a component, so a vector stays one row. Nearest packages come from tiles; file pairs are made
 only inside the package pairs so found, of at most ``most`` files a side. Null vectors take no part.
 """
 
@@ -11,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import tiles
 from .similarity import dot
 
 SMALLEST_NORM = 1e-9
-QUERY_BLOCK, INDEX_BLOCK = 512, 4096
 
 
 def mean_by(rows: DataFrame, keys: list[str], vector: str, width: int) -> DataFrame:
@@ -37,53 +36,11 @@ def package_vectors(tokens: DataFrame, file: str, package: str, vector: str, wid
     return files.withColumn(vector, unit(vector)), packages.withColumn(vector, unit(vector))
 
 
-def _blocks(rows: DataFrame, id_: str, vector: str, side: Column | None, size: int, prefix: str) -> DataFrame:
-    """One row a block of about size rows: ids, vectors and sides as bytes. Rows are dealt by a number of their own, so equal ids spread."""
-    import pandas as pd
-
-    n = max(1, -(-rows.count() // size))
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        return pd.DataFrame({f"{prefix}block": [frame["_block"].iloc[0]], f"{prefix}ids": [frame["_id"].to_numpy("<i8").tobytes()], f"{prefix}sides": [frame["_side"].to_numpy("u1").tobytes()],
-                             f"{prefix}vecs": [np.stack(frame["_v"].to_numpy()).astype("<f8").tobytes()]})
-
-    dealt = rows.select(F.col(id_).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"), (side if side is not None else F.lit(False)).cast("int").alias("_side"),
-                        F.pmod(F.monotonically_increasing_id(), F.lit(n)).alias("_block"))
-    return dealt.groupBy("_block").applyInPandas(pack, f"{prefix}block long, {prefix}ids binary, {prefix}sides binary, {prefix}vecs binary"), n
-
-
-def closest_by_side(index: DataFrame, queries: DataFrame, id_: str, vector: str, side: Column, width: int) -> DataFrame:
-    """query_id, side, vec_id, score: each query's nearest other row on each side (true or false); equal scores to 12 decimals: smallest id."""
-    import pandas as pd
-
-    asked, nq = _blocks(queries.where(F.col(vector).isNotNull()), id_, vector, None, QUERY_BLOCK, "q")
-    held, _ = _blocks(index.where(F.col(vector).isNotNull() & side.isNotNull()), id_, vector, side, INDEX_BLOCK, "c")
-    # Blocks, not rows, meet one another.
-    tiles = held.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<long>"))).join(asked, "qblock")
-
-    def run(batches):
-        import numpy as np
-
-        for batch in batches:
-            for t in batch.itertuples():
-                q, c = (np.frombuffer(x, "<f8").reshape(-1, width) for x in (t.qvecs, t.cvecs))
-                qid, cid, sides = np.frombuffer(t.qids, "<i8"), np.frombuffer(t.cids, "<i8"), np.frombuffer(t.csides, "u1")
-                score = np.round(q @ c.T, 12)
-                order = np.argsort(cid, kind="stable")
-                for s in (0, 1):
-                    at = order[sides[order] == s]
-                    if len(at):
-                        own = np.where(qid[:, None] == cid[at][None, :], -np.inf, score[:, at])
-                        best = own.argmax(axis=1)
-                        top = own[np.arange(len(qid)), best]
-                        found = top > -np.inf
-                        yield pd.DataFrame({"query_id": qid[found], "side": bool(s), "vec_id": cid[at][best][found], "score": top[found]})
-
-    found = tiles.select("qids", "qvecs", "cids", "csides", "cvecs").mapInPandas(run, "query_id long, side boolean, vec_id long, score double")
-    best = F.min(F.struct((-F.col("score")).alias("s"), "vec_id"))
-    return found.groupBy("query_id", "side").agg(best.alias("b")).select("query_id", "side", F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+def closest_by_side(index: DataFrame, queries: DataFrame, id_: str, vector: str, side: Column) -> DataFrame:
+    """query_id, side, vec_id, score: each query's nearest other row on each side (true or false); equal scores: smallest id."""
+    found = tiles.best(index, queries, 1, id_, vector, None, side)
+    nearest = F.min(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("b")
+    return found.groupBy("query_id", "side").agg(nearest).select("query_id", "side", F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
 def file_pairs(matches: DataFrame, files: DataFrame, package: str, file: str, vector: str, most: int = 10) -> DataFrame:

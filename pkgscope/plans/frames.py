@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, sets, similarity, splits
 from .registry import SCORED as NARROW
-from .registry import load, pairs, query, scored
+from .registry import load, neighbours, query, scored
 
 SCALE = 150
 SCORED = NARROW.replace("1000.0", f"{SCALE}.0")
@@ -251,7 +251,7 @@ def similar_families_wide(spark, sf_dir):
 
 def families(spark, sf_dir, duplicate):
     units = load(spark, sf_dir, "embeddings").withColumn("embedding", similarity.unit(F.col("embedding")))
-    return similarity.distinct_families(similarity.top(pairs(spark, sf_dir), 60), units, duplicate).select("query_id", "vec_id", "rank")
+    return similarity.distinct_families(neighbours(spark, sf_dir, 60), units, duplicate).select("query_id", "vec_id", "rank")
 
 
 @query(families_sql(0.99, "v.vec_id % 5 <> 0") + """, s AS (SELECT query_id, round(sum(CASE WHEN label < 5 THEN exp((score - m) / 0.02) ELSE 0 END) / sum(exp((score - m) / 0.02)), 6) AS share
@@ -260,7 +260,7 @@ SELECT doc_id, share FROM documents LEFT JOIN s ON query_id = doc_id WHERE doc_i
 def training_share(spark, sf_dir):
     """The vote of training vectors alone on every fiftieth document, null for a document without a vector."""
     index = load(spark, sf_dir, "embeddings").withColumn("embedding", similarity.unit(F.col("embedding")))
-    near = similarity.top(similarity.scored_pairs(index.where("vec_id % 5 <> 0"), index.where("vec_id % 50 = 0")), 60)
+    near = similarity.neighbours(index.where("vec_id % 5 <> 0"), index.where("vec_id % 50 = 0"), 60)
     share = similarity.vote(similarity.distinct_families(near, index), F.col("label") < 5)
     asked = load(spark, sf_dir, "documents").where("doc_id % 50 = 0").select("doc_id")
     return asked.join(share.withColumnRenamed("query_id", "doc_id"), "doc_id", "left").select("doc_id", F.round("share", 6).alias("share"))

@@ -49,7 +49,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id, side ORDER BY similari
 def code_matches(spark, sf_dir):
     """The closest malicious and benign package of every fifth package, and the most similar pair of files of each pair."""
     files, packages = levels(spark, sf_dir)
-    near = vectors.closest_by_side(packages, packages.where("package % 5 = 0"), "package", "embedding", F.col("bad"), WIDTH)
+    near = vectors.closest_by_side(packages, packages.where("package % 5 = 0"), "package", "embedding", F.col("bad"))
     pairs = vectors.file_pairs(near, files, "package", "file", "embedding")
     label = F.when(F.col("side"), "malicious").otherwise("benign").alias("known_label")
     return pairs.join(near, ["query_id", "side", "vec_id"]).select("query_id", label, F.col("vec_id").alias("known_package"), F.round("score", 6).alias("score"), "query_file", "known_file", F.round("similarity", 6).alias("similarity"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import metrics, names, similarity, splits
+from ..operators import metrics, names, similarity, splits, tiles
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -90,7 +90,7 @@ def url_counts(spark, sf_dir):
 t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id)
 SELECT doc_id, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM c JOIN t USING (doc_id) GROUP BY doc_id""")
 def text_entropy(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("entropy"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.round(T.entropies()(F.col("text")), 6).alias("entropy"))
 
 
 SCORED = "(SELECT least(greatest(value / 1000.0::DOUBLE, 0), 1) AS score, CAST(event_type = 'error' AS INTEGER) AS label, user_id, strftime(ts, '%Y-%m-%d') AS day FROM events)"
@@ -238,32 +238,37 @@ def mean_vectors(spark, sf_dir):
 @query(f"""WITH m AS (SELECT median(score) AS mid FROM {SCORED}) SELECT label, round(avg(CAST(score <= mid AS INTEGER)), 6) AS share_le, round(avg(CAST(score >= mid AS INTEGER)), 6) AS share_ge FROM {SCORED}, m GROUP BY label""")
 def tail_share(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    mid = F.broadcast(rows.agg(F.median("score").alias("mid")))
+    mid = F.broadcast(metrics.median(rows))
     return rows.join(mid).groupBy("label").agg(F.round(F.avg((F.col("score") <= F.col("mid")).cast("int")), 6).alias("share_le"), F.round(F.avg((F.col("score") >= F.col("mid")).cast("int")), 6).alias("share_ge"))
 
 
 PAIRS = "(SELECT q.vec_id AS query_id, v.vec_id, v.label, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)"
 
 
-def pairs(spark, sf_dir):
-    index = load(spark, sf_dir, "embeddings").withColumn("embedding", similarity.unit(F.col("embedding")))
-    return similarity.scored_pairs(index, index.where(F.col("vec_id") % 50 == 0))
+def unit_vectors(spark, sf_dir):
+    return load(spark, sf_dir, "embeddings").withColumn("embedding", similarity.unit(F.col("embedding")))
+
+
+def neighbours(spark, sf_dir, k):
+    index = unit_vectors(spark, sf_dir)
+    return similarity.neighbours(index, index.where("vec_id % 50 = 0"), k)
 
 
 @query(f"SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM {PAIRS}) WHERE rank <= 60")
 def similar_top(spark, sf_dir):
-    return similarity.top(pairs(spark, sf_dir), 60).select("query_id", "vec_id", "rank")
+    return neighbours(spark, sf_dir, 60).select("query_id", "vec_id", "rank")
 
 
 @query(f"""WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r, max(score) OVER (PARTITION BY query_id) AS m FROM {PAIRS}) WHERE r <= 10)
 SELECT query_id, round(sum(CASE WHEN label < 5 THEN exp((score - m) / 0.02) ELSE 0 END) / sum(exp((score - m) / 0.02)), 6) AS share FROM t GROUP BY query_id""")
 def similar_vote(spark, sf_dir):
-    near = similarity.top(pairs(spark, sf_dir), 10)
+    near = neighbours(spark, sf_dir, 10)
     return similarity.vote(near, F.col("label") < 5).select("query_id", F.round("share", 6).alias("share"))
 
 
 @query(f"""SELECT query_id, round(max(score) FILTER (label < 5), 6) AS malicious_score, arg_max(vec_id, score) FILTER (label < 5) AS malicious_id,
 round(max(score) FILTER (label >= 5), 6) AS benign_score, arg_max(vec_id, score) FILTER (label >= 5) AS benign_id FROM {PAIRS} GROUP BY query_id""")
 def similar_closest(spark, sf_dir):
-    found = similarity.closest(pairs(spark, sf_dir), F.col("label") < 5)
+    index = unit_vectors(spark, sf_dir)
+    found = similarity.closest(tiles.best(index, index.where("vec_id % 50 = 0"), 1, side=F.col("label") < 5), F.col("label") < 5)
     return found.withColumns({c: F.round(c, 6) for c in ("malicious_score", "benign_score")})

@@ -75,7 +75,7 @@ def test_vectors_of_packages_and_file_pairs(spark):
     got = {r["package"]: r["v"] for r in packages.collect()}
     assert set(got) == set(whole) and all(np.allclose(got[p], whole[p]) for p in whole) and got[12] == [0.0] * 4
     sided = packages.withColumn("bad", F.when(F.col("package") != 11, F.col("package") % 2 == 0))
-    near = {(r["query_id"], r["side"]): r["vec_id"] for r in vectors.closest_by_side(sided, packages.where("package < 3"), "package", "v", F.col("bad"), 4).collect()}
+    near = {(r["query_id"], r["side"]): r["vec_id"] for r in vectors.closest_by_side(sided, packages.where("package < 3"), "package", "v", F.col("bad")).collect()}
     for q in range(3):
         for side in (True, False):
             own = [p for p in whole if p != q and p != 11 and (p % 2 == 0) == side]
