@@ -141,18 +141,23 @@ def _verified(prefixes, signs, shingles, tree: int, own, threshold: float, least
     x, y = np.nonzero(ask)
     length, common = _matched(signs, x, y), _overlaps(shingles)
     linked, lowest = np.zeros((m, m), bool), np.full(m, np.inf)
-    settled = np.zeros(m, bool)
-    for k in range(DEPTH, least - 1, -1):
-        now = (length == k if k > least else length <= k) & ~(settled[x] & settled[y])
+    settled, done = np.zeros(m, bool), np.zeros(len(x), bool)
+
+    def verify(now):
         i, j = x[now], y[now]
         both = common(i, j)
-        similarity = both / (sizes[i] + sizes[j] - both)
         good = both >= threshold * (sizes[i] + sizes[j] - both)
-        i, j, similarity = i[good], j[good], similarity[good]
+        i, j, similarity = i[good], j[good], (both / (sizes[i] + sizes[j] - both))[good]
         linked[i, j] = True
         np.minimum.at(lowest, i, similarity)
         np.minimum.at(lowest, j, similarity)
+        done[now] = True
+
+    for k in range(DEPTH, least - 1, -1):
+        verify((length == k if k > least else length <= k) & ~(settled[x] & settled[y]))
         settled = np.isfinite(lowest) & (recall_at(np.minimum(lowest, 1.0), k) >= RECALL)
+    # Pairs of texts that had reached the recall come last, so that no pair that shares a prefix goes unverified.
+    verify(~done)
     return linked
 
 
