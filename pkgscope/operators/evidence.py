@@ -52,11 +52,13 @@ def distribution(rows: DataFrame, features: list[str]) -> DataFrame:
     long = rows.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in features])).alias("f")).select("label", "f.*")
     steps = long.groupBy("feature", "value").agg(F.count_if(F.col("label") == 1).alias("mal"), F.count_if(F.col("label") == 0).alias("ben"))
     steps = splits.running_totals(steps, "feature", "value", ["mal", "ben"])
-    sums = steps.groupBy("feature").agg(
-        F.sum("mal").alias("mals"), F.sum("ben").alias("bens"),
-        F.expr("percentile(value, 0.5, mal + ben)").alias("mid"),
-    )
+    sums = steps.groupBy("feature").agg(F.sum("mal").alias("mals"), F.sum("ben").alias("bens"))
     at = steps.join(F.broadcast(sums), "feature")
+    # The sums that are there say where the middle is: the first values that reach the two middle places.
+    past, total = F.col("used_mal") + F.col("used_ben") + F.col("mal") + F.col("ben"), F.col("mals") + F.col("bens")
+    reach = lambda place: F.min(F.when(past > place, F.col("value")))
+    middle = ((reach(F.floor((total - 1) / 2)) + reach(F.floor(total / 2))) / 2).alias("mid")
+    at = at.join(F.broadcast(at.groupBy("feature").agg(middle)), "feature")
     low = F.col("value") <= F.col("mid")
 
     def share(n: str) -> Column:

@@ -134,3 +134,24 @@ def results_without_code(spark, sf_dir):
     scan = F.transform(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 2), lambda i: F.struct(F.col("source").alias("path"), hits.alias("hits")))
     whole = rows.select("doc_id", F.struct("package", "similarity", F.struct(scan.alias("files")).alias("file_scan")).alias("r"))
     return whole.select("doc_id", F.to_json(results.without_code(F.col("r")), {"ignoreNullFields": "false"}).alias("result"))
+
+
+@query("""SELECT DISTINCT 'pkg-' || o_custkey % 300 AS name FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 10 <> 0""")
+def listed_names(spark, sf_dir):
+    """Names of packages with an advisory, from a listing of paths (orders); some paths are hidden or lie in no folder."""
+    name = F.concat(F.when(F.col("o_orderkey") % 2 == 0, F.lit("PKG_")).otherwise(F.lit("pkg.-")), (F.col("o_custkey") % 300).cast("string"))
+    path = F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit(".git/"), name)).when(F.col("o_orderkey") % 10 == 0, "loose.json").otherwise(F.concat(name, F.lit("/MAL-"), F.col("o_orderkey").cast("string"), F.lit(".json")))
+    return indexes.listed_names(load(spark, sf_dir, "orders").select(path.alias("path")))
+
+
+@query("""WITH j AS (SELECT c_name AS package, c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'live-benign-random' WHEN 1 THEN 'live-benign-midpop' ELSE 'live-malware' END AS s FROM customer),
+a AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY package) AS r FROM j WHERE c_custkey % 2 = 0), one AS (SELECT * FROM a WHERE s = 'live-malware' OR r <= CASE s WHEN 'live-benign-random' THEN 160 ELSE 60 END),
+b AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY package) AS r FROM j WHERE package NOT IN (SELECT package FROM one)), two AS (SELECT * FROM b WHERE s = 'live-malware' OR r <= CASE s WHEN 'live-benign-random' THEN 160 ELSE 60 END)
+SELECT 1 AS run, s AS "set", count(*) AS stored FROM one GROUP BY s UNION ALL SELECT 2, s, count(*) FROM two GROUP BY s""")
+def stored_jobs(spark, sf_dir):
+    """Jobs (customers) stored in two runs, half of them and then all, under quotas of 160 and 60 for the benign sets."""
+    kind = F.when(F.col("c_custkey") % 3 == 0, "live-benign-random").when(F.col("c_custkey") % 3 == 1, "live-benign-midpop").otherwise("live-malware")
+    rows = load(spark, sf_dir, "customer").select(F.col("c_name").alias("package"), F.lit(None).cast("string").alias("version"), kind.alias("set"), F.lit(0).alias("label"), "c_custkey")
+    path, quota = folders.scratch(spark, "jobs"), {"live-benign-random": 160, "live-benign-midpop": 60}
+    ran = [(run, s, n) for run, part in enumerate((rows.where("c_custkey % 2 = 0"), rows), 1) for s, n in sorted(cache.store_jobs(part, path, quota).items())]
+    return spark.createDataFrame(ran, "run int, `set` string, stored long")

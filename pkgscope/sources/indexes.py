@@ -92,6 +92,12 @@ def recent_reports(rows: DataFrame, held: DataFrame, cutoff: str, order: str = "
     return new.withColumn("_place", first).where("_place = 1").select("name", "version", "published")
 
 
+def listed_names(listed: DataFrame) -> DataFrame:
+    """name: the normalised names of the folders that advisories (path) lie in; hidden folders and files outside a folder name nothing."""
+    parts = F.split("path", "/")
+    return listed.where((F.size(parts) >= 2) & ~F.col("path").startswith(".")).select(normalise(parts[0]).alias("name")).distinct()
+
+
 def jobs(reports: DataFrame, candidates: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """JOB rows to fetch: reported malware, benign candidates (name, set) of any version, and, where given, all that was stored before."""
     bad = reports.select(F.col("name").alias("package"), "version", F.lit("live-malware").alias("set"), F.lit(1).alias("label"))

@@ -153,3 +153,14 @@ def test_oversize_archives_are_rejects(spark, tmp_path, monkeypatch):
     put(tmp_path / "large.zip", "x" * 11)
     rows = archives.read_archives(spark, str(tmp_path)).collect()
     assert len(rows) == 1 and rows[0]["error"] == "ValueError: archive of 11 bytes" and rows[0]["content"] is None
+
+
+def test_jobs_are_stored_once_within_quotas(spark, tmp_path):
+    path, schema = str(tmp_path / "jobs"), "package string, version string, `set` string, label int"
+    rows = [("a", "1", "s", 0), ("a", "1", "s", 0), ("b", None, "s", 0), ("c", "", "s", 0), ("d", "1", "free", 1), ("e", "1", None, 1)]
+    table = spark.createDataFrame(rows, schema)
+    assert cache.store_jobs(table, path, {"s": 2}) == {"s": 2, "free": 1, None: 1}
+    assert cache.store_jobs(table, path, {"s": 2}) == {"s": 1} and cache.store_jobs(table, path, {"s": 2}) == {}
+    assert cache.store_jobs(spark.createDataFrame([("a", "2", "s", 0)], schema), path, {}) == {"s": 1}
+    got = [(r["package"], r["version"], r["batch"]) for r in spark.read.schema(cache.HELD).parquet(path).where("`set` = 's'").collect()]
+    assert sorted(got, key=str) == [("a", "1", 0), ("a", "2", 2), ("b", None, 0), ("c", "", 1)]
