@@ -61,8 +61,8 @@ def text_slices(batch, text: str):
         at = to
 
 
-def map_texts(df: DataFrame, make: Callable, schema: str, text: str = "text") -> DataFrame:
-    """df without its text column, plus columns of ``schema`` that are made from the texts alone.
+def map_texts(df: DataFrame, make: Callable, schema: str, text: str = "text", kept: bool = False) -> DataFrame:
+    """df without its text column (unless it is kept), plus columns of ``schema`` that are made from the texts alone.
 
     ``make()`` runs once a task and returns a function from a list of texts to a list of columns.
     The other columns stay Arrow values, so that a null beside an id changes nothing. A batch is taken
@@ -70,7 +70,7 @@ def map_texts(df: DataFrame, make: Callable, schema: str, text: str = "text") ->
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if kept or c != text]
     made = StructType.fromDDL(schema)
     fields = list(to_arrow_schema(made))
 

@@ -116,14 +116,14 @@ def _features(lexicon: dict[str, float], exceptions):
     return of
 
 
-def _feature_rows(docs: DataFrame, model: dict) -> DataFrame:
+def _feature_rows(docs: DataFrame, model: dict, kept: bool = False) -> DataFrame:
     lexicon, exceptions = model["lexicon"], model["exceptions"]
 
     def make():
         of = _features(lexicon, exceptions)
         return lambda texts: list(zip(*map(of, texts))) or [[], []]
 
-    return map_texts(docs.withColumn("text", F.col("text").cast("string")), make, "total double, rate double")
+    return map_texts(docs.withColumn("text", F.col("text").cast("string")), make, "total double, rate double", kept=kept)
 
 
 def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, fit_rows: int = FIT_ROWS) -> dict:
@@ -161,6 +161,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, columns unchanged."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    scored = _feature_rows(docs.select(whole, "text"), model)
-    return scored.where(_chance(model) < threshold).select("row.*")
+    # Columns go by number on the way, so that none clashes with the features; a string text goes through the workers once, as itself.
+    once = docs.schema["text"].dataType.typeName() == "string"
+    by = {c: "text" if c == "text" and once else f"_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in by.items()], *([] if once else [F.col("text").cast("string").alias("text")]))
+    return _feature_rows(rows, model, kept=True).where(_chance(model) < threshold).select(*[F.col(n).alias(c) for c, n in by.items()])
