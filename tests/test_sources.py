@@ -6,7 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from pkgscope.operators import similarity
+from pkgscope.operators import similarity, tiles
 from pkgscope.sources import archives
 
 
@@ -40,9 +40,13 @@ def test_archives(spark):
     assert {r["archive"] for r in got if r["error"]} == {"bad.tar.gz", "junk"}
 
 
-def test_blocked_pairs_equal_broadcast_ones(spark, monkeypatch):
-    v = spark.createDataFrame([(i, i % 2, [float(i % 7), float(i % 5)]) for i in range(60)], "vec_id long, label int, embedding array<float>")
+def test_blocks_do_not_change_pairs(spark, monkeypatch):
+    """Every pair of a query and another vector, scored, whether all lie in one block or in many."""
+    rows = [(i, i % 2, [float(i % 7), float(i % 5)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
     q = v.where(F.col("vec_id") % 10 == 0)
-    want = sorted(map(tuple, similarity.scored_pairs(v, q).collect()))
-    monkeypatch.setattr(similarity, "BROADCAST_QUERIES", 2)
-    assert sorted(map(tuple, similarity.scored_pairs(v, q).collect())) == want
+    want = sorted((i, j, y, sum(a * b for a, b in zip(x, w))) for i, _, x in rows if i % 10 == 0 for j, y, w in rows if j != i)
+    for size in (4096, 9):
+        monkeypatch.setattr(tiles, "QUERY_BLOCK", size // 4)
+        monkeypatch.setattr(tiles, "INDEX_BLOCK", size)
+        assert sorted((r["query_id"], r["vec_id"], r["label"], r["score"]) for r in similarity.neighbours(v, q, 60).collect()) == want
