@@ -2,11 +2,11 @@
 
 Documents are encoded whole, an end id is added, and only longer ones are cut into pieces of the
 capacity. The driver sees the histogram of piece lengths, at most ``capacity`` rows at any corpus
-size. The program starts from the configurations of best fit on counts, lengths in falling order. Its
-first prices, length over capacity, bound the number of sequences from below; where the start is within
-a gap (0.1 %, or one sequence) of that bound, the program is solved. Elsewhere multiplicative weights
-with a knapsack dynamic program as pricing solve it, amounts are rounded down to whole sequences, the
-rest is placed best-fit, and the shorter of both plans is kept.
+size. Multiplicative weights with a knapsack dynamic program as pricing solve the configuration program
+on every table and amounts are whole sequences. What is left of the demand (REST of the tokens) and the
+smallest lengths (DUST of the pieces) is placed best-fit into the room that the configurations leave, then
+into new sequences. Tokens over capacity, and the pieces of which no two fit, bound the number of
+sequences from below; beyond a gap (0.1 %, or one sequence) other first prices are tried.
 Pieces take their places by rank within their length; ranks are counted over salted cells, whose
 number grows with the table, so no length needs a single task. Null texts count as empty (one end
 id); equal lengths are dealt by salt, doc_id and piece; repeated rows are packed each; other columns
@@ -24,7 +24,8 @@ from .encode import encoder
 
 CAPACITY = 4096
 CELL_ROWS = 100_000
-ETA, STEP, TRIED, RARE, REST = 2.0, 0.5, 24, 0.005, 0.05
+ETA, STEP, TRIED, DUST, REST = 2.0, 0.5, 24, 0.04, 0.04
+LONG = 0.25, 0.0, 1.0
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -98,43 +99,49 @@ def _sequences(plan: list[tuple[dict[int, int], int]]) -> int:
 
 
 def plan_configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None, gap: float = 0.001) -> list[tuple[dict[int, int], int]]:
-    """(configuration, number of sequences) pairs that hold exactly the histogram."""
+    """(configuration, number of sequences) pairs that hold exactly the histogram.
+
+    The program runs from the first prices of LONG, and from its others while the shortest plan is not within the gap of the bound.
+    """
     left = {w: n for w, n in histogram.items() if n}
     full = [({capacity: 1}, left.pop(capacity))] if left.get(capacity) else []
-    if not left:
-        return full
-    plan = _best_fit(left, capacity)
+    rounds = len(left) * 8 + 100 if rounds is None else rounds
     bound = max(-(-sum(w * n for w, n in left.items()) // capacity), sum(n for w, n in left.items() if 2 * w > capacity))
-    if _sequences(plan) > bound + max(1, gap * bound):
-        placed = solve_configurations(left, capacity, len(left) * 8 + 100 if rounds is None else rounds, gap)
+    plan = None
+    for long in LONG:
+        placed, rest = solve_configurations(left, capacity, rounds, long), dict(left)
         for config, times in placed:
             for w, k in config.items():
-                left[w] -= k * times
-        rounded = placed + _best_fit(left, capacity)
-        plan = min(rounded, plan, key=_sequences)
+                rest[w] -= k * times
+        plan = min(filter(None, (plan, _best_fit(rest, capacity, placed))), key=_sequences, default=[])
+        if _sequences(plan) <= bound + max(1, gap * bound):
+            break
     return full + plan
 
 
-def solve_configurations(need: dict[int, int], capacity: int, rounds: int, gap: float) -> list[tuple[dict[int, int], int]]:
+def solve_configurations(need: dict[int, int], capacity: int, rounds: int, long: float = LONG[0]) -> list[tuple[dict[int, int], int]]:
     """The configuration program by multiplicative weights, in whole sequences.
 
-    A length's price is its size times exp(-ETA x the share of its demand that is covered). Each round
+    A length's first price is its size, with ``long`` x the capacity added where two of it do not fit (half of that where
+    two just fit); it is multiplied by exp(-ETA x the share of its demand that is covered). Each round
     prices a configuration by knapsack, over all lengths where they are at most TRIED, else over TRIED of
     them (the least covered, fillers, and a spread of all), and takes it as often as covers at most
-    a share STEP of any length's demand. Lengths too rare to matter (RARE of all tokens) are left out,
-    and the program ends when no more than REST of the tokens is left, or after so many rounds.
+    a share STEP of any length's demand. The program ends when no more than REST of the tokens is left,
+    or after so many rounds. Where lengths are more than TRIED, the smallest, no more than DUST of the
+    pieces, are set aside: they fill what the configurations leave free.
     """
     import numpy as np
 
-    rng, total = np.random.default_rng(0), sum(w * n for w, n in need.items())
-    rare, tokens = set(), 0
-    for w in sorted(need, key=lambda w: (need[w], w)):
-        tokens += w * need[w]
-        if tokens > RARE * total:
+    rng, total, pieces = np.random.default_rng(0), sum(w * n for w, n in need.items()), sum(need.values())
+    aside, seen = set(), 0
+    for w in sorted(need) if len(need) > TRIED else ():
+        seen += need[w]
+        if seen > DUST * pieces or w > capacity // 8:
             break
-        rare.add(w)
-    lengths = np.array(sorted(w for w in need if w not in rare and need[w] > 0), np.int64)
+        aside.add(w)
+    lengths = np.array(sorted(w for w in need if w not in aside and need[w] > 0), np.int64)
     demand = np.array([need[w] for w in lengths.tolist()], np.int64)
+    worth = lengths + long * capacity * (1 + np.sign(2 * lengths - capacity)) / 2
     open_, left, plan, third = demand.copy(), int((lengths * demand).sum()), [], TRIED // 3
 
     def spread(of):
@@ -151,7 +158,7 @@ def solve_configurations(need: dict[int, int], capacity: int, rounds: int, gap:
             fillers = live[: max(third, int(np.searchsorted(lengths[live], capacity // 8)))]
             tried = np.unique(np.concatenate([spread(least), spread(live), spread(fillers)]))
         tried = tried[::-1]
-        prices = lengths[tried] * np.exp(-ETA * (1 - open_[tried] / demand[tried]))
+        prices = worth[tried] * np.exp(-ETA * (1 - open_[tried] / demand[tried]))
         most = np.minimum(open_[tried], capacity // lengths[tried])
         pattern = _best_pattern(lengths[tried].tolist(), prices.tolist(), most.tolist(), capacity)
         at, k = tried[list(pattern)], np.array(list(pattern.values()))
@@ -162,8 +169,8 @@ def solve_configurations(need: dict[int, int], capacity: int, rounds: int, gap:
     return plan
 
 
-def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit by falling length on counts: bins that hold the same lengths move together."""
+def _best_fit(left: dict[int, int], capacity: int, placed: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best fit by falling length on counts, into the room of placed sequences and new ones: bins that hold the same lengths move together."""
     groups: dict[int, list[tuple[dict[int, int], int]]] = {}
     frees: list[int] = []
     import bisect
@@ -174,6 +181,8 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
             bisect.insort(frees, free)
         groups[free].append((config, n))
 
+    for config, times in placed:
+        put(capacity - sum(w * k for w, k in config.items()), config, times)
     for w in sorted((w for w, n in left.items() if n > 0), reverse=True):
         n = left[w]
         while n:
