@@ -2,13 +2,14 @@
 
 Order: toxic documents go; one document of each near-duplicate class stays; words of benchmark
 passages mark documents, and those go; secrets are masked; what is left is packed.
-All but the last stage return the columns of documents. Null and empty texts are clean and stay;
+All but the last stage return the columns of documents. Each stage bounds the session's Arrow batches by bytes. Null and empty texts are clean and stay;
 repeated rows are copies; an empty table passes through empty.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,17 @@ from pkgscope.llm.common import load, shared_folder
 from pkgscope.llm.queries import vocabulary
 
 ORACLE_SQL = None
+BATCH_BYTES = 4 << 20
+
+
+def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with Arrow batches of about BATCH_BYTES, whatever the length of texts: executors and their workers hold a batch several times over."""
+
+    def of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return of
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +52,11 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("toxicity", toxicity_stage),
-    ("ngram_jaccard_join", jaccard_stage),
-    ("benchmark_decontamination", decontamination_stage),
-    ("secret_scans", secrets_stage),
-    ("best_fit_packing", packing_stage),
+    ("toxicity", bounded(toxicity_stage)),
+    ("ngram_jaccard_join", bounded(jaccard_stage)),
+    ("benchmark_decontamination", bounded(decontamination_stage)),
+    ("secret_scans", bounded(secrets_stage)),
+    ("best_fit_packing", bounded(packing_stage)),
 ]
 
 
