@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .common import fresh, text_key
 
 N_WORDS = 10
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Each character by itself: a class of single characters is one table for the JVM, one of ranges a chain of calls for every character.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in (*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
