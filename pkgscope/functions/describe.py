@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,20 +29,25 @@ def short(x: Column) -> Column:
     return F.concat(F.when(x < 0, "-").otherwise(""), F.when((exponent < -4) | (exponent >= 4), science).otherwise(plain))
 
 
-def observation(feature: Column, value: Column) -> Column:
-    """What was measured; that nothing was found is said in words."""
-    return F.when(feature.rlike(YES_NO), F.when(value != 0, "present").otherwise("NOT present")).when(value == 0, "0 (none found)").otherwise(short(value))
+def whole(x: Column) -> Column:
+    """A count with all its digits."""
+    return x.cast("long").cast("string")
+
+
+def observation(feature: Column, value: Column, number: Callable[[Column], Column] = short) -> Column:
+    """What was measured, as ``number`` writes it; that nothing was found is said in words."""
+    return F.when(feature.rlike(YES_NO), F.when(value != 0, "present").otherwise("NOT present")).when(value == 0, "0 (none found)").otherwise(number(value))
 
 
 def whole_percent(x: Column) -> Column:
     return F.concat(F.format_string("%.0f", F.bround(100 * x, 0)), F.lit("%"))
 
 
-def training(feature: Column, value: Column, context: dict[str, Column]) -> Column:
+def training(feature: Column, value: Column, context: dict[str, Column], number: Callable[[Column], Column] = short) -> Column:
     """One sentence that compares a value with the training data; context: tail, malicious_share, benign_share, ratio, n_malicious, n_benign."""
     c = context
     had = F.when(feature.rlike(YES_NO), F.when(value != 0, "had this").otherwise("lacked this")).when((value == 0) & (c["tail"] == "le"), "had none").otherwise(
-        F.concat(F.when(c["tail"] == "le", "had at most ").otherwise("had at least "), short(value))
+        F.concat(F.when(c["tail"] == "le", "had at most ").otherwise("had at least "), number(value))
     )
     lean = F.when(c["ratio"] >= 1.05, F.concat(trimmed(F.format_string("%.2f", c["ratio"])), F.lit("x more common among malware"))).when(
         c["ratio"] <= 0.95, F.concat(F.format_string("%.1f", F.bround(1 / F.greatest(c["ratio"], F.lit(1e-3)), 1)), F.lit("x more common among benign packages"))

@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from pkgscope.functions import describe
 from pkgscope.operators import augment, reading, splits
+from pkgscope.plans import packages, registry
 
 
 def test_numbers_as_they_are_written(spark):
@@ -35,6 +37,15 @@ def test_sentences(spark):
     assert [tuple(r) for r in got] == [by_hand(*r) for r in rows]
 
 
+def test_counts_are_written_in_full(spark, tmp_path):
+    rows = [(i, i % 8, p, i % 11, float(i % 50)) for i, p in enumerate([1, 9999, 10000, 10001, 12345, 19010, 99995, 99999, 100000, 1234567, 2**31 + 1, 2**53 + 1, None] * 8)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = packages.described_evidence(spark, str(tmp_path)).orderBy("l_orderkey").collect()
+    assert [tuple(r) for r in got] == con.execute(registry.ORACLE_SQL["described_evidence"] + " ORDER BY l_orderkey").fetchall()
+
+
 def test_draws_keep_their_rules(spark):
     rows = [(i, f"g{i % 6}", i % 2, i % 20, i % 3, 100 * (i % 30), int(i % 4 == 0), 0, None, 0, 0) for i in range(400)]
     schema = "id long, grp string, label int, pkg_n_files int, pkg_n_py_files int, pkg_loc int, " + ", ".join(f"{c} int" for c in augment.RISKY)
