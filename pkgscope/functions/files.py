@@ -72,7 +72,7 @@ def snippet(text: Column, lines: int = 40, chars: int = 3000) -> Column:
     return F.when(F.length(head) > chars, cut).when(F.size(every) > lines, F.concat(head, F.lit("\n…"))).otherwise(head)
 
 
-def text_of(content: Column, most: int = 2 << 20) -> Column:
-    """Bytes as text: null beyond ``most`` bytes; each bad sequence becomes one replacement character; every line end becomes \\n."""
+def text_of(content: Column, most: int = 2 << 20, size: Column | None = None) -> Column:
+    """Bytes as text: null beyond ``most`` bytes, by the listed ``size`` where one is given; each bad sequence becomes one replacement character; every line end becomes \\n."""
     read = F.regexp_replace(F.make_valid_utf8(content.cast("string")), r"\r\n?", "\n")
-    return F.when(F.octet_length(content) <= most, read)
+    return F.when((F.octet_length(content) if size is None else size) <= most, read)

@@ -4,10 +4,12 @@ import json
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from pkgscope.functions import files, results, scan
+from pkgscope.plans import registry, tables
 from pkgscope.sources import archives, cache, folders, indexes, sinks
 
 
@@ -130,6 +132,18 @@ def test_bytes_to_text(spark):
     assert spark.createDataFrame([(None,)], "b binary").select(files.text_of(F.col("b"))).first()[0] is None
 
 
+def test_texts_about_the_limit(spark, tmp_path):
+    sizes = range(tables.TEXT_BYTES - 9, tables.TEXT_BYTES + 2)
+    rows = [(6 * i + kind, "\u00e9\n" + "x" * (n - 3)) for i, n in enumerate(sizes) for kind in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = tables.read_texts(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == con.execute(registry.ORACLE_SQL["read_texts"] + " ORDER BY doc_id").fetchall()
+    whole = spark.createDataFrame([(bytearray(b"abc"), 2), (bytearray(b"abc"), 3), (bytearray(b"abc"), 4)], "b binary, n int").select(files.text_of(F.col("b"), 3, F.col("n")), files.text_of(F.col("b"), 2))
+    assert sorted(map(tuple, whole.collect()), key=str) == [("abc", None), ("abc", None), (None, None)]
+
+
 def test_lines_end_where_texts_say(spark):
     texts = ["a\r8.8.8.8\rb", "x\r\n9.9.9.9", "\x0b\x0c  \x85 7.7.7.7", "1.1.1.1", "", None]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(scan.line_hits(F.col("t"))).collect()]
