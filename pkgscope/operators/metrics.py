@@ -111,10 +111,20 @@ def period_f_thresholds(rows: DataFrame, period: str, beta: float = 0.5, low: fl
 
     Rows are summed by the number of thresholds that they reach; the sums above each threshold follow from at most steps + 1 rows a period.
     """
-    step = (high - low) / (steps - 1)
-    grid = [high if i == steps - 1 else i * step + low for i in range(steps)]
-    reached = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("score")))
+    reached = F.size(F.filter(F.array(*map(F.lit, steps_between(low, high, steps))), lambda t: t <= F.col("score")))
     cells = rows.groupBy(period, reached.alias("reached")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    return best_of_cells(cells, period, beta, low, high, steps)
+
+
+def steps_between(low: float = 0.05, high: float = 0.95, steps: int = 91) -> list[float]:
+    """Evenly spaced thresholds, as doubles."""
+    step = (high - low) / (steps - 1)
+    return [high if i == steps - 1 else i * step + low for i in range(steps)]
+
+
+def best_of_cells(cells: DataFrame, period: str, beta: float = 0.5, low: float = 0.05, high: float = 0.95, steps: int = 91) -> DataFrame:
+    """period, threshold as of period_f_thresholds, from the malware p and benign rows n of each period that reach a number of thresholds."""
+    grid = steps_between(low, high, steps)
     every = cells.groupBy(period).agg(F.sum("p").alias("all_p")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     passed = F.col("reached") > F.col("i")
     sums = every.join(cells, period).groupBy(period, "i", "all_p").agg(F.sum(F.when(passed, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(passed, F.col("n")).otherwise(0)).alias("fp"))
@@ -162,12 +172,20 @@ def period_thresholds(rows: DataFrame, period: str, rate: float) -> DataFrame:
     Ranges of scores are counted first; only rows of the range that holds the threshold are ranked.
     """
     benign = rows.where(F.col("label") == 0).select(period, "score", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin"))
-    counts = benign.groupBy(period, "bin").agg(F.count("*").alias("n"))
+    holds = holding_bins(benign.groupBy(period, "bin").agg(F.count("*").alias("n")), period, rate)
+    return ranked_thresholds(benign.join(F.broadcast(holds), [period, "bin"]).groupBy(period, "at", "score").agg(F.count("*").alias("n")), period)
+
+
+def holding_bins(counts: DataFrame, period: str, rate: float) -> DataFrame:
+    """period, bin, at: the range of scores that holds each period's threshold, and its rank there, from the benign rows n of each period and range."""
     before = W.partitionBy(period).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(W.partitionBy(period))})
     at = F.least(F.floor(F.col("total") * (1 - rate)), F.col("total") - 1)
-    holds = counts.withColumn("at", at).where((F.col("base") <= F.col("at")) & (F.col("at") < F.col("base") + F.col("n"))).select(period, "bin", (F.col("at") - F.col("base")).alias("at"))
-    ranked = benign.join(F.broadcast(holds), [period, "bin"]).groupBy(period, "at", "score").agg(F.count("*").alias("n"))
+    return counts.withColumn("at", at).where((F.col("base") <= F.col("at")) & (F.col("at") < F.col("base") + F.col("n"))).select(period, "bin", (F.col("at") - F.col("base")).alias("at"))
+
+
+def ranked_thresholds(ranked: DataFrame, period: str) -> DataFrame:
+    """period, threshold, from the rows n of each score in the ranges of holding_bins, with the rank looked for."""
     upto = F.sum("n").over(W.partitionBy(period).orderBy("score"))
     return ranked.withColumn("upto", upto).where("upto > at").groupBy(period).agg((F.min("score") + 1e-9).alias("threshold"))
 

@@ -7,6 +7,9 @@ for periods x folds. Malware of a period is tested if its group was not seen bef
 nothing needs to be taken from the training sums; benign rows are tested in every period or never, as ``held`` says.
 Malware weighs benign / malware rows of the fit. Rows with a null label, group or feature take no part; malware without a
 date (null or empty) counts as older than all periods. A period without new malware, or without malware before it, has no rows.
+
+Thresholds rest on the scores of every training row under every later model, periods x rows numbers, which are made in numpy, a batch of
+rows at a time, and leave a task only as counts: first of ranges of scores, then of the scores in the ranges that hold a threshold.
 """
 
 from __future__ import annotations
@@ -77,25 +80,104 @@ def rolling_scores(
     fitted = {p for p, k, _ in fits if k == PRIOR}
     tested = sorted(r[0] for r in unseen.select(period).distinct().collect() if r[0] and r[0] in fitted)
     spark = rows.sparkSession
-    table = F.broadcast(small_table(spark, [f for f in fits if f[0] in set(tested)], "_period string, _k int, _b array<double>"))
+    fits = [f for f in fits if f[0] in set(tested)]
+    table = F.broadcast(small_table(spark, [(p, b) for p, k, b in fits if k == PRIOR], "_period string, _b array<double>"))
     months = F.array(*map(F.lit, tested)).cast("array<string>")
-    z = F.aggregate(F.zip_with(F.array(F.lit(1.0), *(F.col(c).cast("double") for c in features)), "_b", lambda x, b: x * b), F.lit(0.0), lambda s, t: s + t)
+    # One after the other from the intercept on, as in _scores.
+    z = sum((F.col(c).cast("double") * F.get("_b", F.lit(i)) for i, c in enumerate(features, 1)), F.get("_b", F.lit(0)))
     prob = F.round(F.least(F.greatest(z, F.lit(0.0)), F.lit(1.0)), 9)
-
-    def scored(part: DataFrame, k: Column) -> DataFrame:
-        met = part.withColumn("_use", k).join(table, (F.col("_period") == F.col(period)) & (F.col("_k") == F.col("_use")))
-        return met.withColumn("prob", prob).drop("_period", "_k", "_use", "_b")
-
-    in_every = benign.withColumn("_month", F.explode(months)).drop(period).withColumnRenamed("_month", period).select(*benign.columns)
-    later = malware.withColumn("_month", F.explode(F.filter(months, lambda m: m > F.col(period)))).drop(period).withColumnRenamed("_month", period).select(*benign.columns)
-    test = scored(in_every.where("_held").unionByName(unseen.where(F.col(period).isin(tested))), F.lit(PRIOR))
-    trained = scored(in_every.where("not _held").unionByName(later), F.col("_fold")).select(period, F.col("prob").alias("score"), F.col(label).alias("label"))
-    limits = metrics.period_f_thresholds(trained, period).withColumnRenamed("threshold", "t_f05")
-    for name, rate in (("t_fpr1", 0.01), ("t_fpr05", 0.005), ("t_strict", 0.001)):
-        limits = limits.join(metrics.period_thresholds(trained, period, rate).withColumnRenamed("threshold", name), period)
+    in_every = benign.where("_held").withColumn("_month", F.explode(months)).drop(period).withColumnRenamed("_month", period).select(*benign.columns)
+    test = in_every.unionByName(unseen.where(F.col(period).isin(tested)))
+    test = test.join(table, F.col("_period") == F.col(period)).withColumn("prob", prob).drop("_period", "_b")
+    limits = training_limits(benign.where("not _held").unionByName(malware), features, period, "_fold", tested, fits, label)
     return test.drop("_held", "_fold").join(F.broadcast(limits), period)
 
 
+def _scores(batch, features: int, tested: list[str], models: dict):
+    """(number of the period, scores, their rows) of a batch (x0, x1, ..., label, fold, period) under the fit of each period without the row's fold, for rows known before it."""
+    from bisect import bisect_right
+
+    import pyarrow.compute as pc
+
+    columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(features + 1)]
+    x, label = columns[:features], columns[features]
+    known = pc.fill_null(batch.column(features + 2), "").dictionary_encode()
+    first = np.array([bisect_right(tested, p) for p in known.dictionary.to_pylist()], np.int64)[known.indices.to_numpy(zero_copy_only=False)]
+    first[label == 0] = 0
+    fold = pc.fill_null(batch.column(features + 1), PRIOR).to_numpy(zero_copy_only=False)
+    for k in np.unique(fold[fold != PRIOR]).tolist():
+        own = np.flatnonzero(fold == k)
+        own = own[np.argsort(first[own], kind="stable")]
+        upto = np.searchsorted(first[own], np.arange(len(tested)), "right")
+        parts = [c[own] for c in x]
+        for i, n in enumerate(upto.tolist()):
+            b = models.get((i, k))
+            if b is not None and n:
+                z = np.full(n, b[0])
+                for c, w in zip(parts, b[1:]):
+                    z += c[:n] * w
+                # Not a number is above all numbers, as in Spark.
+                z = np.where(np.isnan(z), 1.0, np.clip(z, 0.0, 1.0))
+                yield i, np.rint(z * 1e9) / 1e9, label[own[:n]]
+
+
+def training_limits(rows: DataFrame, features: list[str], period: str, fold: str, tested: list[str], fits: list[tuple], label: str = "label") -> DataFrame:
+    """period, t_f05, t_fpr1, t_fpr05, t_strict of each tested period, from its training rows: all benign ones, and malware of earlier periods.
+
+    The driver holds at most metrics.BINS + 92 counts a period.
+    """
+    spark, d = rows.sparkSession, len(features)
+    number = {p: i for i, p in enumerate(tested)}
+    models = {(number[p], k): b for p, k, b in fits if k != PRIOR}
+    grid = metrics.steps_between()
+    bins, cells = metrics.BINS, len(grid) + 1
+    columns = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]
+    rows = rows.select(*columns, F.col(label).cast("int").alias("label"), F.col(fold).alias("fold"), F.col(period).alias("period"))
+
+    def count(batches):
+        import pyarrow as pa
+
+        found = np.zeros((len(tested), bins + 2 * cells), np.int64)
+        for batch in batches:
+            for i, score, y in _scores(batch, d, tested, models):
+                good = y == 0
+                reached = np.searchsorted(grid, score, "right")
+                found[i, :bins] += np.bincount(np.minimum((score[good] * bins).astype(np.int64), bins - 1), minlength=bins)
+                found[i, bins : bins + cells] += np.bincount(reached[good], minlength=cells)
+                found[i, bins + cells :] += np.bincount(reached[~good], minlength=cells)
+        i, slot = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(slot), pa.array(found[i, slot])], names=["i", "slot", "n"])
+
+    counted = [(tested[r["i"]], r["slot"], r["n"]) for r in rows.mapInArrow(count, "i long, slot long, n long").groupBy("i", "slot").agg(F.sum("n").alias("n")).collect()]
+    reach = [(p, (at - bins) % cells, n if at >= bins + cells else 0, n if at < bins + cells else 0) for p, at, n in counted if at >= bins]
+    reach = small_table(spark, reach, f"`{period}` string, reached long, p long, n long").groupBy(period, "reached").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    limits = metrics.best_of_cells(reach, period).withColumnRenamed("threshold", "t_f05")
+    counts = small_table(spark, [c for c in counted if c[1] < bins], f"`{period}` string, bin long, n long")
+    rates = {"t_fpr1": 0.01, "t_fpr05": 0.005, "t_strict": 0.001}
+    holds = [(name, r[period], r["bin"], r["at"]) for name, rate in rates.items() for r in metrics.holding_bins(counts, period, rate).collect()]
+    wanted = {i: np.array(sorted({h[2] for h in holds if h[1] == p}), np.int64) for p, i in number.items()}
+
+    def rank(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found: dict[int, list] = {}
+            for i, score, y in _scores(batch, d, tested, models):
+                score = score[y == 0]
+                found.setdefault(i, []).append(score[np.isin(np.minimum((score * bins).astype(np.int64), bins - 1), wanted[i])])
+            for i, parts in found.items():
+                score, n = np.unique(np.concatenate(parts), return_counts=True)
+                at = np.minimum((score * bins).astype(np.int64), bins - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([tested[i]] * len(n), pa.string()), pa.array(at), pa.array(score), pa.array(n)], names=[period, "bin", "score", "n"])
+
+    within = rows.mapInArrow(rank, f"`{period}` string, bin long, score double, n long").groupBy(period, "bin", "score").agg(F.sum("n").alias("n"))
+    sought = small_table(spark, holds, f"_name string, `{period}` string, bin long, at long")
+    ranked = within.join(F.broadcast(sought), [period, "bin"])
+    upto = F.sum("n").over(W.partitionBy("_name", period).orderBy("score"))
+    least = ranked.withColumn("upto", upto).where("upto > at").groupBy(period).pivot("_name", list(rates)).agg(F.min("score") + 1e-9)
+    return limits.join(least, period)
+
+
 def set_metrics(rows: DataFrame, sets: dict[str, Column], thresholds: dict[str, Column], label: str = "label") -> DataFrame:
     """set, at, n, n_mal, recall, precision, fpr, accuracy of scored rows (prob) in overlapping sets at several thresholds, in one pass; undefined rates are null."""
     named = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in sets.items()]), lambda s: s.isNotNull())

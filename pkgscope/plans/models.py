@@ -37,9 +37,9 @@ fit2 AS (SELECT b0, b1, b2 FROM pair WHERE step = {NEWTON_STEPS}), fit1 AS (SELE
 rate AS (SELECT avg(label) AS base FROM held)"""
 
 
-def known(spark, sf_dir):
-    """Scored events with a share and a label that follows both."""
-    events = load(spark, sf_dir, "events").select("event_id", F.least(F.greatest(F.col("value") / 150, F.lit(0.0)), F.lit(1.0)).alias("score"), "user_id")
+def known(spark, sf_dir, *more):
+    """Scored events with a share, a label that follows both, and more columns of theirs."""
+    events = load(spark, sf_dir, "events").select("event_id", F.least(F.greatest(F.col("value") / 150, F.lit(0.0)), F.lit(1.0)).alias("score"), "user_id", *more)
     rows = events.withColumns({"share": F.when(F.col("user_id") % 7 != 0, (F.col("user_id") % 10) / 10), "capable": F.col("user_id") % 2 == 0})
     chance = 0.05 + 0.55 * F.col("score") + 0.3 * F.coalesce("share", F.lit(0.4))
     return rows.withColumn("label", (F.col("event_id") * 7919 % 1000 / 1000 < chance).cast("int"))
@@ -200,7 +200,7 @@ best AS (SELECT day, t FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER
 
 def daily(spark, sf_dir):
     """Events as packages, days as months: users come in over time, every fifth user's benign events are held for the tests."""
-    rows = known(spark, sf_dir).join(load(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day")), "event_id").withColumn("share", F.coalesce("share", F.lit(0.5)))
+    rows = known(spark, sf_dir, F.date_format("ts", "yyyy-MM-dd").alias("day")).withColumn("share", F.coalesce("share", F.lit(0.5)))
     rows = rows.where((F.col("event_id") % 3 == 0) | (F.col("user_id") % 40 < F.substring("day", 9, 2).cast("int")))
     held = (F.col("label") == 0) & (F.col("user_id") % 5 == 0)
     return rolling.rolling_scores(rows, ["score", "share"], "user_id", "day", held, F.col("event_id") % 5)

@@ -1,10 +1,12 @@
 """Monthly retraining against one fit after another in numpy, with undated malware, nulls and months without news."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pkgscope.operators import metrics, rolling
+from pkgscope.plans import models, registry
 
 
 def fit(x, y, l2=1.0):
@@ -71,6 +73,26 @@ def test_scores_and_thresholds_of_each_month(spark, rows):
     assert seen >= 2
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_training_rows_are_not_repeated_for_each_month(spark, rows):
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = plan(rolling.rolling_scores(table, ["a", "b"], "grp", "month", F.col("i") % 7 == 0, F.col("fold")))
+    assert got.count("Generate ") == 2  # the held rows, which are tested in every month, and the grid of thresholds
+
+
+def test_events_that_share_an_id_are_rows_of_their_own(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 4000 or event_id > 7000").withColumn("event_id", F.expr("if(event_id % 100 = 0, event_id div 1000 * 1000, event_id)"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = models.rolling_retrained(spark, str(tmp_path)).groupBy("day").agg(F.count("*"), F.sum("label"), F.max("t_fpr1")).orderBy("day").collect()
+    want = con.execute(f"SELECT day, count(*), sum(label)::BIGINT, max(t_fpr1) FROM ({registry.ORACLE_SQL['rolling_retrained']}) GROUP BY day ORDER BY day").fetchall()
+    assert [tuple(r)[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=2e-6)
+
+
 def test_no_malware_and_no_rows(spark, rows):
     table = spark.createDataFrame(rows, SCHEMA)
     for part in (table.where("label = 0"), table.limit(0)):
