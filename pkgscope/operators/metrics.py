@@ -18,10 +18,12 @@ def ratio(a: Column, b: Column, undefined: float | None = 0.0) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(undefined).cast("double"))
 
 
-def confusion(rows: DataFrame, keys: list[str], predicted: Column, label: Column, undefined: float | None = 0.0) -> DataFrame:
+def confusion(rows: DataFrame, keys: list[str], predicted: Column, label: Column, undefined: float | None = 0.0, times: Column | None = None) -> DataFrame:
+    """Counts and rates of each key; a row stands for ``times`` rows."""
+    count = F.count_if if times is None else lambda c: F.sum(F.when(c, times).otherwise(0))
     counts = rows.groupBy(*keys).agg(
-        F.count_if(predicted & (label == 1)).alias("tp"), F.count_if(predicted & (label == 0)).alias("fp"),
-        F.count_if(~predicted & (label == 0)).alias("tn"), F.count_if(~predicted & (label == 1)).alias("fn"),
+        count(predicted & (label == 1)).alias("tp"), count(predicted & (label == 0)).alias("fp"),
+        count(~predicted & (label == 0)).alias("tn"), count(~predicted & (label == 1)).alias("fn"),
     )
     tp, fp, tn, fn = map(F.col, ("tp", "fp", "tn", "fn"))
     return counts.withColumns({

@@ -180,9 +180,12 @@ def training_limits(rows: DataFrame, features: list[str], period: str, fold: str
 
 def set_metrics(rows: DataFrame, sets: dict[str, Column], thresholds: dict[str, Column], label: str = "label") -> DataFrame:
     """set, at, n, n_mal, recall, precision, fpr, accuracy of scored rows (prob) in overlapping sets at several thresholds, in one pass; undefined rates are null."""
-    named = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in sets.items()]), lambda s: s.isNotNull())
-    hits = F.array(*[F.struct(F.lit(n).alias("at"), (F.col("prob") >= t).alias("hit")) for n, t in thresholds.items()])
-    each = rows.select(F.col(label).alias("label"), F.explode(named).alias("set"), hits.alias("hits")).select("label", "set", F.explode("hits").alias("h")).select("label", "set", "h.at", "h.hit")
-    found = metrics.confusion(each, ["set", "at"], F.col("hit"), F.col("label"), None)
+    # Rows are summed as they are, by what they belong to and reach; sets and thresholds meet the sums.
+    inside, hits = F.array(*[F.coalesce(c, F.lit(False)) for c in sets.values()]), F.array(*[F.col("prob") >= t for t in thresholds.values()])
+    sums = rows.groupBy(F.col(label).alias("label"), inside.alias("inside"), hits.alias("hits")).agg(F.count("*").alias("rows"))
+    named = F.filter(F.array(*[F.when(F.get("inside", F.lit(i)), F.lit(n)) for i, n in enumerate(sets)]), lambda s: s.isNotNull())
+    at = F.array(*[F.struct(F.lit(n).alias("at"), F.get("hits", F.lit(i)).alias("hit")) for i, n in enumerate(thresholds)])
+    each = sums.select("label", "rows", F.explode(named).alias("set"), at.alias("at")).select("label", "rows", "set", F.inline("at"))
+    found = metrics.confusion(each, ["set", "at"], F.col("hit"), F.col("label"), None, F.col("rows"))
     n = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
     return found.select("set", "at", n.alias("n"), (F.col("tp") + F.col("fn")).alias("n_mal"), "recall", "precision", "fpr", metrics.ratio(F.col("tp") + F.col("tn"), n, None).alias("accuracy"))

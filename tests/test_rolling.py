@@ -83,6 +83,13 @@ def test_training_rows_are_not_repeated_for_each_month(spark, rows):
     assert got.count("Generate ") == 2  # the held rows, which are tested in every month, and the grid of thresholds
 
 
+def test_sets_and_thresholds_meet_sums(spark):
+    rows = spark.createDataFrame([(0.9, 1), (0.2, 0), (0.7, None), (None, 1)], "prob double, label int")
+    found = rolling.set_metrics(rows, {"all": F.lit(True), "some": F.when(F.col("label") == 1, True)}, {"low": F.lit(0.5), "none": F.lit(None).cast("double")})
+    assert plan(found).rindex("Aggregate ") > plan(found).rindex("Generate ")
+    assert {(r["set"], r["at"], r["n"], r["n_mal"]) for r in found.collect()} == {("all", "low", 2, 1), ("all", "none", 0, 0), ("some", "low", 1, 1), ("some", "none", 0, 0)}
+
+
 def test_events_that_share_an_id_are_rows_of_their_own(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 4000 or event_id > 7000").withColumn("event_id", F.expr("if(event_id % 100 = 0, event_id div 1000 * 1000, event_id)"))
     events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
