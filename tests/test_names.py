@@ -30,3 +30,21 @@ def test_distances_to_popular_names(spark):
 def test_typosquat_query_takes_every_name(spark, sf):
     want = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("lower(c_name)").union(spark.read.parquet(f"{sf}/part.parquet").selectExpr("lower(p_name)")).distinct()
     assert queries()["typosquat_names"](spark, sf).count() == want.count()
+
+
+def test_no_pair_of_names_is_a_row(spark):
+    rows = spark.range(100).selectExpr("concat('name', id) as name")
+    found = names.distances(rows, rows.limit(50))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_of_all_lengths_and_letters():
+    rng = random.Random(6)
+    for many in (2, 4, 300):
+        letters = [chr(97 + i) if i < 26 else chr(0x1F600 + i) for i in range(many)] + ["\0"]
+        for limit in (1, 2, 3):
+            word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+            known = sorted({word(9) for _ in range(rng.randrange(1, 40))} | ({"".join(letters)} if many == 300 else set()))
+            own = [word(13) for _ in range(80)] + known[:3] + [k + "z" for k in known[-3:]]
+            assert names.nearest(own, known, limit).tolist() == [min(limit + 1, *(edits(n, k) for k in known)) for n in own]
+    assert names.nearest(["a"], [], 3).tolist() == [4] and names.nearest([], ["a"], 3).tolist() == []
